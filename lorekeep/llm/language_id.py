@@ -36,9 +36,9 @@ FAMILIES = {
     "turkic": ["az", "kk", "tr", "uz"],
     "uralic": ["et", "fi", "hu"],
 }
-DIM = 4096
+DIM = 2048
 #: Bound of the training sample, in rows per language.
-PER_LANG = 400
+PER_LANG = 300
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     columns, bias = [], []
     if len(names) > 1:
         labelled = data.withColumn("y", F.array_position(F.array(*[F.lit(x) for x in names]), F.col("family")).cast("double") - 1)
-        m = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=30, regParam=0.001).fit(labelled)
+        m = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=15, regParam=0.001).fit(labelled)
         columns += list(m.coefficientMatrix.toArray())
         bias += list(m.interceptVector.toArray())
     else:
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
         bias += [0.0] * len(names)
     for one, two in pairs:
         part = data.where(F.col("lang").isin(one, two)).withColumn("y", (F.col("lang") == one).cast("double"))
-        m = LinearSVC(featuresCol="x", labelCol="y", maxIter=30, regParam=0.001).fit(part)
+        m = LinearSVC(featuresCol="x", labelCol="y", maxIter=15, regParam=0.001).fit(part)
         columns.append(m.coefficients.toArray())
         bias.append(m.intercept)
     weights = np.stack(columns, 1).astype(np.float32) if columns else np.zeros((DIM, 0), np.float32)

@@ -22,7 +22,7 @@ RULES: list[tuple[str, str]] = [
     ("short_words", "word_chars < 3 * n_words"),
     ("long_words", "word_chars > 12 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "100 * n_dup_lines > 60 * n_lines"),
     ("upper_case", "100 * n_upper > 40 * word_chars"),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
@@ -102,7 +102,7 @@ m as (select w.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as wo
       from w left join c on w.doc_id = c.doc_id left join l on w.doc_id = l.doc_id),
 b as (select *, (case when n_words < 50 then 1 else 0 end) + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
         + (case when word_chars < 3 * n_words then 4 else 0 end) + (case when word_chars > 12 * n_words then 8 else 0 end)
-        + (case when 10 * n_symbols > n_words then 16 else 0 end) + (case when 100 * n_dup_lines > 30 * n_lines then 32 else 0 end)
+        + (case when 10 * n_symbols > n_words then 16 else 0 end) + (case when 100 * n_dup_lines > 60 * n_lines then 32 else 0 end)
         + (case when 100 * n_upper > 40 * word_chars then 64 else 0 end) as fail_bits from m)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
   cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .chat_format import OP4_SQL, op4_chat_format
+from .decontaminate import op6_decontaminate
 from .language_id import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP2_SQL, op2_mix_sources
+from .ngram_join import op10_ngram_join
 from .quality_model import op8_quality_rules_model
 from .quality_rules import OP9_SQL, op9_quality_rules
+from .repeats import op7_repeats
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -16,8 +19,11 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_repeats": op7_repeats,
     "op8_quality_rules_model": op8_quality_rules_model,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL = {

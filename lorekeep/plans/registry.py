@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import conversations, recall  # noqa: F401  (importing a module registers its queries)
+
+QUERIES: dict = {**recall.QUERIES}
+SQL: dict[str, str] = {**recall.SQL}

@@ -16,7 +16,7 @@ U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 #: Bytes of text taken at once; a longer document is taken alone.
-CHUNK = 2_000_000
+CHUNK = 300_000
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False

@@ -3,7 +3,7 @@
 A text becomes the relative frequencies of its hashed byte trigrams (letters folded to lower case, other ASCII as spaces). A
 multinomial logistic regression names the language family; inside a family, one linear support vector machine per pair of
 languages votes, and the margin decides ties. Models are Spark ML's, fitted on at most PER_LANG labelled rows of each language,
-those first in the order of a hash of their id; scoring covers every whole text, a few megabytes of text at a time.
+those first in the order of a hash of their id; scoring covers every whole text, a few hundred kilobytes of text at a time.
 
 A language that FAMILIES does not know is a family of its own.
 

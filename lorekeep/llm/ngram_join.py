@@ -2,6 +2,8 @@ r"""Operator 10: n-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct k-word shingles, as 64-bit hashes. Two documents link when 100 * |A and B| >= threshold * |A or B|.
 
+The postings move once, range-partitioned by (shingle, document), so that a shingle of many documents is dealt to many tasks.
+
 1. One pass over the text: set size and a 128-bit signature per document, and a fixed-size sketch of shingle counts. Documents
    of equal signature are one class, whose smallest id stands for it, so copies never meet again.
 2. Shingles are ordered by sketched count, rarest first. If two sets link, their prefixes of n - ceil(t * n) + m shingles share at least m
@@ -14,7 +16,7 @@ A document's set is its distinct k-word shingles, as 64-bit hashes. Two document
 
 Defined results: null and empty texts have no shingles and link with nothing; a null doc_id has component null; rows that repeat a
 doc_id are one document that has the links of each row; ties of counts are broken by the hash; an empty table gives an
-empty result. Memory: a few megabytes of text at a time, one document at least, and a sketch of fixed size.
+empty result. Memory: a few hundred kilobytes of text at a time, one document at least, and a sketch of fixed size.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from ._shared import documents, written
 from ._text import U, mix, shingle_sets
 from .components import components
+from .filters import marked, only, passing
 
 K, THRESHOLD = 3, 90
 #: Counters of the sketch: its size is fixed, whatever the input.
@@ -102,31 +105,44 @@ def _prefixes(docs: DataFrame, k: int, threshold: int, sketch: np.ndarray) -> Da
                 length = np.where(n > 0, np.minimum(first + match - 1, n), 0)
                 inside = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(length, n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(h[inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(match.astype(np.int32)), pa.array(first.astype(np.int32)), tokens], names=["doc_id", "n", "match", "first", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(match), pa.array(first.astype(np.int32)), tokens], names=["doc_id", "n", "match", "first", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, match long, first int, tokens array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, match int, first int, tokens array<long>")
 
+def _sets(docs: DataFrame, k: int, bitmap: np.ndarray) -> DataFrame:
+    """(doc_id, shingles) of the documents that pass the filter: the sorted hashes, 6 bytes each."""
+    shared_bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
+        bits = np.unpackbits(shared_bits.value).view(bool)
         for batch in batches:
+            batch = only(batch, bits)
             ids = batch.column("doc_id")
             for a, b, row, h in shingle_sets(batch.column("text"), k):
                 at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+                six = np.ascontiguousarray((h >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([six[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
+def _whole(packed: pa.Scalar) -> np.ndarray:
+    out = np.zeros((len(packed.as_buffer()) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, 6)
+    return out.view(U).ravel()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link. Both sets join by key; a document of many pairs is split by AQE's skew join."""
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
+    """The pairs (a, b) that link. Only sets that a pair names move; a document of many pairs is split by AQE's skew join."""
+    of_a, of_b = (passing(sets, marked(pairs.select(x))).select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(of_b, "b").join(of_a, "a")
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                one, two = _whole(x), _whole(y)
                 at = np.searchsorted(one, two)
                 at[at == len(one)] = 0
                 shared = int((one[at] == two).sum()) if len(one) else 0
@@ -136,48 +152,102 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar_size(n: str, m: str, threshold: int):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
+def _lists(batches):
+    """Streams postings sorted by (token, doc_id, s). Emits those whose token has several documents, or touches the border of the
+    partition, with the first document as centre. State: one posting."""
+    names = ["token", "doc_id", "s", "centre", "centre_s"]
+    held, carry, began = None, None, True  # held: a posting that is alone so far; carry: (token, centre, its s)
+
+    def out(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, d, s = (np.array(batch.column(x)) for x in ("token", "doc_id", "s"))
+        new = np.ones(len(t), bool)
+        new[1:] = t[1:] != t[:-1]
+        goes_on = carry is not None and t[0] == carry[0]
+        new[0] = not goes_on
+        first = np.flatnonzero(new)
+        centre, centre_s = d[first], s[first]
+        if goes_on:
+            centre, centre_s = np.append(carry[1], centre), np.append(carry[2], centre_s)
+        group = np.cumsum(new) - (0 if goes_on else 1)
+        size = np.bincount(group)
+        keep = size > 1
+        if goes_on or began:
+            keep[0] = True  # more than one with what came before, or at the border
+        if held is not None and goes_on:
+            yield out(*held)
+        if not (goes_on and len(size) == 1):
+            held = None
+        elif held is not None:
+            held = None
+        pick = keep[group]
+        yield out(t[pick], d[pick], s[pick], centre[group[pick]], centre_s[group[pick]])
+        if not keep[-1]:
+            held = t[-1:], d[-1:], s[-1:], d[-1:], s[-1:]
+        carry, began = (t[-1], centre[group[-1]], centre_s[group[-1]]), False
+    if held is not None:
+        yield out(*held)
+
+
+def _n(s: str):
+    return F.shiftright(s, 16)
+
+
+def _match(s: str):
+    return F.col(s).bitwiseAND(F.lit(0xFF00)) / 256
+
+
+def _level(s: str):
+    return F.col(s).bitwiseAND(F.lit(0xFF))
+
+
+def _similar(s: str, t: str, threshold: int):
+    return F.least(_n(s), _n(t)) * 100 >= F.greatest(_n(s), _n(t)) * threshold
 
 
 def link_components(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
     profiles = written(_profiles(docs, k), "profiles")
     rows = profiles.where(F.col("block").isNull()).select("doc_id", "n", "sig_a", "sig_b")
-    classes = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "classes")
+    classes = written(rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefixes = _prefixes(docs, k, threshold, _sketch(profiles)).where(F.col("n") > 0).join(reps, "doc_id", "left_semi")
-    postings = prefixes.select("doc_id", "n", "match", "first", F.posexplode("tokens").alias("i", "token")).select("token", "doc_id", F.struct("n", "match", F.greatest(F.lit(1), F.col("i") - F.col("first") + 2).alias("level")).alias("s"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "s.n")).alias("centre")).where(F.col("c") > 1).drop("c")
-    shared = written(postings.join(lists, "token").select("token", "doc_id", "s.*", "centre"), "postings")
-    wanted = shared.select("doc_id").distinct()
-    sets = written(_sets(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
+    # a posting packs set size, number of matches and the level of its place in the prefix
+    level = F.greatest(F.lit(1), F.col("i") - F.col("first") + 2)
+    postings = prefixes.select("doc_id", "n", "match", "first", F.posexplode("tokens").alias("i", "token")).select("token", "doc_id", (F.shiftleft("n", 16) + F.shiftleft("match", 8) + level).alias("s"))
+    dealt = postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "s")
+    shared = written(dealt.mapInArrow(_lists, "token long, doc_id long, s long, centre long, centre_s long"), "postings")
+    sets = written(_sets(docs, k, marked(shared.select("doc_id"))), "sets")
 
     def stars(found: DataFrame) -> DataFrame:
-        pair = found.where((F.col("doc_id") != F.col("centre.doc_id")) & _similar_size("n", "centre.n", threshold))
-        return pair.select(F.least("doc_id", "centre.doc_id").alias("a"), F.greatest("doc_id", "centre.doc_id").alias("b")).distinct()
+        """Members against centres; a pair needs its shared shingles here too, as stars need not be exhaustive."""
+        pair = found.where((F.col("doc_id") != F.col("centre")) & _similar("s", "centre_s", threshold))
+        most = F.least(_match("s"), _match("centre_s"))
+        pair = pair.groupBy(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).agg(F.count("*").alias("c"), F.min(most).alias("m"))
+        return pair.where(F.col("c") >= F.col("m")).select("a", "b")
 
     tried = written(stars(shared), "pairs")
     links = written(_verified(tried, sets, threshold), "verified")
     for turn in range(1, STAR_ROUNDS + 1):
         labels = components(links)
-        own = shared.drop("centre").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")).alias("centre")).where(F.col("lo") < F.col("hi"))
+        own = shared.select("token", "doc_id", "s").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        apart = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("centre"), F.col("s").alias("centre_s"), F.col("component").alias("of_centre"))).alias("c")).where(F.col("lo") < F.col("hi"))
         # what can still join two components: the postings of lists that reach over both
-        own = written(own.join(apart.select("token", "centre"), "token"), "open-postings")
+        own = written(own.join(apart.select("token", "c.centre", "c.centre_s", "c.of_centre"), "token"), "open-postings")
         last = turn == STAR_ROUNDS
         if last:
-            left, right = (own.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "match", "level", "component")]) for side in "ab")
-            pair = left.join(right, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _similar_size("n_a", "n_b", threshold))
-            most = F.least("match_a", "match_b")
-            pair = pair.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count_if(F.greatest("level_a", "level_b") <= most).alias("c"), F.min(most).alias("m")).where(F.col("c") >= F.col("m")).select("a", "b")
+            left, right = (own.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "s", "component")]) for side in "ab")
+            pair = left.join(right, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _similar("s_a", "s_b", threshold))
+            most = F.least(_match("s_a"), _match("s_b"))
+            pair = pair.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count_if(F.greatest(_level("s_a"), _level("s_b")) <= most).alias("c"), F.min(most).alias("m")).where(F.col("c") >= F.col("m")).select("a", "b")
         else:
-            pair = stars(own.where(F.col("component") != F.col("centre.component")))
+            pair = stars(own.where(F.col("component") != F.col("of_centre")))
         fresh = written(pair.join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
-            if last:
-                break
             continue
         links = written(links.union(_verified(fresh, sets, threshold)), "verified")
         tried = tried.union(fresh)

@@ -11,14 +11,14 @@ suffixes instead, chosen so that no match is lost, and keeps of each run of equa
 2. Run-length order. Entries are range-partitioned and sorted by (gram, context, document). Entries of one context are a run; the run's
    first document is its sampled end, the others are repeated throughout and marked at once. A gram that spreads over many
    partitions costs each of them its share; a run cut by a border has one more end.
-3. Matching. Where a gram has several contexts, or touches a border, its run ends are compared window by window: their 50-byte windows
-   meet by 128-bit hash, and a window is repeated if the least document of its string is smaller. This finds the part of two
-   different contexts that still agrees, left and right.
+3. Matching. Where a gram has several contexts, or touches a border, the bytes of its run ends meet by gram and are compared window by
+   window: a window is repeated if a smaller document has it. This finds the part of two different contexts that still agrees, left
+   and right. Grams with very many contexts are compared by a join on single windows instead.
 4. Marks go back to the documents by id; a document's marks are united and its bytes cut.
 
 Defined results: a null or empty text has no bytes; texts under 50 bytes match nothing; rows with a null doc_id are returned whole and
 match nothing; rows that repeat a doc_id are one document in comparisons and are cut one by one; other columns are ignored.
-Memory: a few megabytes of text at a time, one document at least.
+Memory: a few hundred kilobytes of text at a time, one document at least.
 """
 
 from __future__ import annotations
@@ -27,27 +27,31 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import documents, written
 from ._text import _P, _P_INV, U, _powers, chunks, mix, utf8
+from .filters import marked, passing
 
 LENGTH = 50
 GRAM = 16
-#: A second odd multiplier, for the other half of 128-bit hashes.
-_P2 = 0xC2B2AE3D27D4EB4F
-_P2_INV = pow(_P2, -1, 1 << 64)
+#: Open entries of one gram that a task has seen in its partition before the gram's windows are compared by a join instead.
+HOT = 10_000
+#: Bits of the packed columns: key = gram, context; loc = rest of the context, place, number of windows.
+_CONTEXT_HIGH, _CONTEXT_LOW, _PLACE, _COUNT = 24, 18, 40, 6
+_LOW = _PLACE + _COUNT
+_PLACE_MASK = (1 << _PLACE) - 1
 
 
-def _sums(data: np.ndarray, base: int = _P) -> np.ndarray:
+def _sums(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _powers(base, len(data)), out=out[1:])
+    np.cumsum((data.astype(U) + U(1)) * _powers(_P, len(data)), out=out[1:])
     return out
 
 
-def _spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, inverse: int = _P_INV) -> np.ndarray:
-    return (sums[ends] - sums[starts]) * _powers(inverse, len(sums))[starts]
+def _spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (sums[ends] - sums[starts]) * _powers(_P_INV, len(sums))[starts]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,18 +64,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _part(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """16 bits that tell apart the texts of one doc_id."""
-    return (mix(_spans(sums, offsets[:-1], offsets[1:])) >> U(48)).astype(np.int64)
-
-
-def _entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, context, doc_id, loc): loc packs the text's 16 bits, the first window's place (40 bits) and the windows' number (6 bits)."""
+def _entries(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, doc_id, loc): one row per stretch of windows that share their gram."""
     width = length - gram + 1
 
     def run(batches):
         for batch in batches:
-            ids = np.array(batch.column("doc_id"))
+            ids, base = np.array(batch.column("doc_id")), np.array(batch.column("base"))
             data, offsets = utf8(batch.column("text"))
             for a, b in chunks(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -91,96 +90,165 @@ def _entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 start, n = at[first], np.diff(np.append(first, len(at)))
                 pick, own = elected[start], row[start]
                 context = mix(_spans(sums, start, start + n + length - 1) + (pick - start).astype(U) * U(0x9FB21C651E98DF25) + n.astype(U))
-                loc = (_part(sums, off)[own] << 46) | ((start - off[own]) << 6) | n
-                yield pa.RecordBatch.from_arrays([pa.array(grams[pick].view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[a + own]), pa.array(loc)], names=["gram", "context", "doc_id", "loc"])
+                key = (grams[pick] & ~U((1 << _CONTEXT_HIGH) - 1)) | (context >> U(64 - _CONTEXT_HIGH))
+                place = (base[a + own] + start - off[own]).astype(U)
+                loc = ((context & U((1 << _CONTEXT_LOW) - 1)) << U(_LOW)) | (place << U(_COUNT)) | n.astype(U)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a + own]), pa.array(loc.view(np.int64))], names=["key", "doc_id", "loc"])
 
-    return docs.mapInArrow(run, "gram long, context long, doc_id long, loc long")
+    return texts.mapInArrow(run, "key long, doc_id long, loc long")
 
 
 def _scan(batches):
-    """Streams entries sorted by (gram, context, doc_id, loc). Emits the entries of a run after its first document as repeated, and run
-    ends as open where their gram has several contexts or may go on in another partition."""
-    names = ["doc_id", "loc", "open"]
-    held = None  # the last gram's rows that are undecided: its only run end so far
-    carry = None  # (gram, context, first document of the run, whether the gram has several runs, whether it began the partition)
+    """Streams entries sorted by (key, rest of the context, doc_id). Emits kind 0: entries of a run after its first document, repeated
+    throughout; kind 1: run ends, open as their gram has several contexts or touches the partition's border; kind 2: hot grams."""
+    names = ["gram", "doc_id", "loc", "kind"]
+    held = None  # the last gram's run end while it is the only one
+    carry = None  # (gram, key, low, first document of the run, runs so far, whether the gram began the partition)
 
-    def out(doc, loc, is_open):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(loc), pa.array(is_open)], names=names)
+    def out(gram, doc, loc, kind):
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(loc & ((1 << _LOW) - 1)), pa.array(np.full(len(gram), kind, np.int8))], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        g, c, d, loc = (np.array(batch.column(x)) for x in ("gram", "context", "doc_id", "loc"))
-        n = len(g)
-        new_gram, new_run = np.ones(n, bool), np.ones(n, bool)
+        key, d, loc = (np.array(batch.column(x)) for x in ("key", "doc_id", "loc"))
+        g, low = key >> _CONTEXT_HIGH, loc.view(U) >> U(_LOW)
+        new_gram, new_run = np.ones(len(g), bool), np.ones(len(g), bool)
         new_gram[1:] = g[1:] != g[:-1]
-        new_run[1:] = new_gram[1:] | (c[1:] != c[:-1])
-        head = carry is not None and g[0] == carry[0]
-        new_gram[0], new_run[0] = not head, not (head and c[0] == carry[1])
-        run_no = np.cumsum(new_run) - (0 if not new_run[0] else 1)  # 0: the run that is carried on, if one is
-        first_doc = d[np.flatnonzero(new_run)]
-        if not new_run[0]:
-            first_doc = np.append(carry[2], first_doc)
-        end = d == first_doc[run_no]  # rows of the run's first document
-        gram_no = np.cumsum(new_gram) - (0 if not new_gram[0] else 1)
+        new_run[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1])
+        same_gram = carry is not None and g[0] == carry[0]
+        same_run = same_gram and key[0] == carry[1] and low[0] == carry[2]
+        new_gram[0], new_run[0] = not same_gram, not same_run
+        first_doc = d[new_run]
+        if same_run:
+            first_doc = np.append(carry[3], first_doc)
+        run_no = np.cumsum(new_run) - (0 if same_run else 1)
+        end = d == first_doc[run_no]
+        gram_no = np.cumsum(new_gram) - (0 if same_gram else 1)
         runs = np.bincount(gram_no, new_run).astype(np.int64)
         began = np.zeros(len(runs), bool)
-        if head:
-            runs[0] += 2 if carry[3] else 1
-            began[0] = carry[4]
+        if same_gram:
+            runs[0] += carry[4]
+            began[0] = carry[5]
         elif carry is None:
             began[0] = True
-        several = runs > 1
-        several |= began
-        last = gram_no[-1]
+        several = (runs > 1) | began
         if held is not None:
-            if head and (several[0] or last == 0):
-                if several[0]:
-                    yield out(*held, np.ones(len(held[0]), bool))
-                    held = None
-            else:
+            if same_gram and several[0]:
+                yield out(*held, 1)
+                held = None
+            elif not same_gram or len(runs) > 1:
                 held = None
-        repeated = ~end
-        is_open = end & several[gram_no]
-        emit = repeated | is_open
-        yield out(d[emit], loc[emit], is_open[emit])
-        undecided = end & (gram_no == last) & ~several[last]
+        repeated, is_open = ~end, end & several[gram_no]
+        yield out(g[repeated], d[repeated], loc[repeated], 0)
+        yield out(g[is_open], d[is_open], loc[is_open], 1)
+        hot = np.unique(g[np.flatnonzero(new_gram | (np.arange(len(g)) == 0))][runs > HOT]) if (runs > HOT).any() else g[:0]
+        if len(hot):
+            yield out(hot, hot, hot, 2)
+        undecided = end & (gram_no == gram_no[-1]) & ~several[-1]
         if undecided.any():
-            rows = d[undecided], loc[undecided]
+            rows = g[undecided], d[undecided], loc[undecided]
             held = rows if held is None else tuple(np.append(x, y) for x, y in zip(held, rows, strict=True))
-        carry = (g[-1], c[-1], first_doc[run_no[-1]], bool(several[last]), bool(began[last]))
+        carry = (g[-1], key[-1], low[-1], first_doc[run_no[-1]], int(runs[-1]), bool(began[-1]))
     if held is not None:  # the last gram may go on in the next partition
-        yield out(*held, np.ones(len(held[0]), bool))
+        yield out(*held, 1)
 
 
-def _windows(docs_with_marks: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, doc_id, loc) of every window of the open marks."""
+def _contexts(texts_with_marks: DataFrame, length: int) -> DataFrame:
+    """(gram, doc_id, loc, bytes): the bytes of each open entry."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids, base, marks = batch.column("doc_id").to_pylist(), batch.column("base").to_pylist(), batch.column("open_marks")
             data, offsets = utf8(batch.column("text"))
-            marks = batch.column("open_locs")
             for i, doc in enumerate(ids):
-                part = data[offsets[i] : offsets[i + 1]]
-                one, two = _sums(part), _sums(part, _P2)
-                own = int(_part(one, np.array([0, len(part)]))[0])
-                loc = np.array(marks[i].values)
-                loc = np.unique(loc[(loc >> 46) == own])
-                n = loc & 63
-                start = np.repeat((loc >> 6) & ((1 << 40) - 1), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                h1, h2 = mix(_spans(one, start, start + length)), mix(_spans(two, start, start + length, _P2_INV))
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(start), doc, np.int64)), pa.array((own << 46) | (start << 6) | 1)], names=["h1", "h2", "doc_id", "loc"])
+                part, own = data[offsets[i] : offsets[i + 1]], marks[i].values
+                gram, loc = np.array(own.field("gram")), np.array(own.field("loc"))
+                start, n = (loc >> _COUNT) - base[i], loc & ((1 << _COUNT) - 1)
+                here = (start >= 0) & (start + n + length - 1 <= len(part)) & ((loc >> _COUNT >> 34) == base[i] >> 34)
+                gram, loc, start, size = gram[here], loc[here], start[here], (n + length - 1)[here]
+                to = np.concatenate([[0], np.cumsum(size)])
+                held = part[np.repeat(start - to[:-1], size) + np.arange(to[-1])]
+                values = pa.BinaryArray.from_buffers(pa.binary(), len(loc), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(held)])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(loc), doc, np.int64)), pa.array(loc), values], names=["gram", "doc_id", "loc", "bytes"])
+
+    return texts_with_marks.mapInArrow(run, "gram long, doc_id long, loc long, bytes binary")
+
+
+def _window_hashes(column: pa.Array, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, window in the entry, hash) of all windows of the entries' bytes."""
+    data, offsets = utf8(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    entry = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    start = offsets[entry] + j
+    return entry, j, mix(_spans(_sums(data), start, start + length))
+
+
+def _found(doc: np.ndarray, loc: np.ndarray, entry: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, loc) of the stretches of windows that were found, given in order of entry and window."""
+    new = np.ones(len(j), bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (j[1:] != j[:-1] + 1)
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(j)))
+    place = (loc[entry[first]] >> _COUNT) + j[first]
+    return pa.RecordBatch.from_arrays([pa.array(doc[entry[first]]), pa.array((place << _COUNT) | n)], names=["doc_id", "loc"])
+
+
+def _matched(contexts: DataFrame, length: int) -> DataFrame:
+    """Windows that an entry of the same gram with a smaller doc_id has too. Grams are dealt by hash and sorted; a gram is held in
+    memory while it is compared, which HOT bounds."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rest = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            gram = rest.column("gram").to_numpy()
+            whole = int(np.searchsorted(gram, gram[-1], side="left")) if len(gram) else 0
+            if whole:
+                yield from compare(rest.slice(0, whole))
+                rest = rest.slice(whole)
+        if rest is not None and len(rest):
+            yield from compare(rest)
+
+    def compare(table: pa.Table):
+        gram, doc, loc = (table.column(x).to_numpy() for x in ("gram", "doc_id", "loc"))
+        entry, j, h = _window_hashes(table.column("bytes"), loc & ((1 << _COUNT) - 1), length)
+        order = np.lexsort((doc[entry], h, gram[entry]))
+        e, hs = entry[order], h[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hs[1:] != hs[:-1]) | (gram[e[1:]] != gram[e[:-1]])
+        least = doc[e[np.flatnonzero(new)]][np.cumsum(new) - 1]
+        found = np.sort(order[doc[e] > least])
+        if len(found):
+            yield _found(doc, loc, entry[found], j[found])
+
+    return contexts.repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(run, "doc_id long, loc long")
+
+
+def _joined(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for hot grams, window by window: least documents are pre-aggregated, and the join back is split by AQE."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                gram, doc, loc = (np.array(batch.column(x)) for x in ("gram", "doc_id", "loc"))
+                entry, j, h = _window_hashes(batch.column("bytes"), loc & ((1 << _COUNT) - 1), length)
+                one = (((loc[entry] >> _COUNT) + j) << _COUNT) | 1
+                yield pa.RecordBatch.from_arrays([pa.array(gram[entry]), pa.array(h.view(np.int64)), pa.array(doc[entry]), pa.array(one)], names=["gram", "h", "doc_id", "loc"])
 
-    return docs_with_marks.mapInArrow(run, "h1 long, h2 long, doc_id long, loc long")
+    windows = written(contexts.mapInArrow(run, "gram long, h long, doc_id long, loc long"), "windows")
+    least = windows.groupBy("gram", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where(F.col("least") < F.col("most"))
+    return windows.join(least, ["gram", "h"]).where(F.col("least") < F.col("doc_id")).select("doc_id", "loc")
 
 
-def _cut(docs_with_marks: DataFrame, length: int) -> DataFrame:
+def _cut(texts_with_marks: DataFrame, length: int) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
+            base = np.array(batch.column("base"))
             removed, spans, kept = [], [], []
             for i, loc in enumerate(batch.column("locs")):
                 part = data[offsets[i] : offsets[i + 1]]
@@ -190,35 +258,56 @@ def _cut(docs_with_marks: DataFrame, length: int) -> DataFrame:
                     kept.append(part.tobytes())
                     continue
                 loc = np.array(loc.values)
-                loc = loc[(loc >> 46) == int(_part(_sums(part), np.array([0, len(part)]))[0])]
-                start = (loc >> 6) & ((1 << 40) - 1)
+                loc = loc[(loc >> _COUNT >> 34) == base[i] >> 34]
+                start = (loc >> _COUNT) - base[i]
                 depth = np.zeros(len(part) + 1, np.int64)
                 np.add.at(depth, start, 1)
-                np.add.at(depth, start + (loc & 63) + length - 1, -1)
+                np.add.at(depth, start + (loc & ((1 << _COUNT) - 1)) + length - 1, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(part[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs_with_marks.select("doc_id", "text", "locs").mapInArrow(run, schema)
+    return texts_with_marks.select("doc_id", "text", "base", "locs").mapInArrow(run, schema)
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Adds base, where a text's places begin: 0, but for the further texts of a doc_id, each 2**34 on (64 texts at most)."""
+    twice = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
+    if twice.isEmpty():
+        return texts.withColumn("base", F.lit(0).cast("long"))
+    hashed = texts.withColumn("__h", F.xxhash64("text"))
+    ranks = hashed.join(twice, "doc_id", "left_semi").select("doc_id", "__h").distinct().withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy("__h")) - 1)
+    out = hashed.join(ranks, ["doc_id", "__h"], "left")
+    rank = F.coalesce("__r", F.lit(0)).cast("long")
+    return out.select("doc_id", "text", F.when(F.assert_true(rank < 64).isNull(), F.shiftleft(rank, 34)).alias("base"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs: doc_id, text. Returns (doc_id, n_bytes, n_removed, n_spans, kept), kept being the bytes that stay (they need not be UTF-8)."""
     if not gram < length <= gram + 62:
         raise ValueError("length must be above gram and at most gram + 62")
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    entries = _entries(texts, length, gram)
-    dealt = entries.repartitionByRange("gram", "context", "doc_id").sortWithinPartitions("gram", "context", "doc_id", "loc")
-    marks = written(dealt.mapInArrow(_scan, "doc_id long, loc long, open boolean"), "marks")
-    opened = marks.where("open").groupBy("doc_id").agg(F.collect_list("loc").alias("open_locs"))
-    windows = written(_windows(texts.join(opened, "doc_id").select("doc_id", "text", "open_locs"), length), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where(F.col("least") < F.col("most"))
-    found = windows.join(least, ["h1", "h2"]).where(F.col("least") < F.col("doc_id")).select("doc_id", "loc")
-    covered = marks.where("not open").select("doc_id", "loc").union(found).groupBy("doc_id").agg(F.collect_list("loc").alias("locs"))
-    whole = docs.where(F.col("doc_id").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<long>").alias("locs"))
-    return _cut(texts.join(covered, "doc_id", "left").select("doc_id", "text", "locs").union(whole), length)
+    texts = _numbered(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    order = ["key", F.shiftrightunsigned("loc", _LOW), "doc_id", "loc"]
+    dealt = _entries(texts, length, gram).repartitionByRange(*order[:3]).sortWithinPartitions(*order)
+    marks = written(dealt.mapInArrow(_scan, "gram long, doc_id long, loc long, kind byte"), "marks")
+    # texts without a mark need not move
+    bits = marked(marks.where("kind < 2").select("doc_id"))
+    some, others = passing(texts, bits), passing(texts, bits, others=True)
+    opened = marks.where("kind = 1").select("gram", "doc_id", "loc")
+    hot = marks.where("kind = 2").select("gram").distinct()
+    contexts = _contexts(some.join(opened.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "loc")).alias("open_marks")), "doc_id"), length)
+    if hot.isEmpty():
+        found = _matched(contexts, length)
+    else:
+        contexts, hot = written(contexts, "contexts"), written(hot, "hot")
+        found = _matched(contexts.join(hot, "gram", "left_anti"), length).union(_joined(contexts.join(hot, "gram", "left_semi"), length))
+    covered = marks.where("kind = 0").select("doc_id", "loc").union(found).groupBy("doc_id").agg(F.collect_list("loc").alias("locs"))
+    none = F.lit(None).cast("array<long>").alias("locs")
+    whole = docs.where(F.col("doc_id").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("base"), none)
+    cut = some.join(covered, "doc_id", "left").select("doc_id", "text", "base", "locs").union(others.select("doc_id", "text", "base", none)).union(whole)
+    return _cut(cut, length)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

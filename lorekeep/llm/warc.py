@@ -127,17 +127,18 @@ def write_archives(chunks: DataFrame, path: str) -> DataFrame:
 def _members(store: fs.FileSystem, name: str) -> Iterator[tuple[bytes, bool]]:
     """Unpacked blocks of an archive, and whether a block ends its record."""
     with store.open_input_stream(name, compression=None, buffer_size=BLOCK) as f:
-        member = zlib.decompressobj(31)
-        data = f.read(BLOCK)
-        while data:
-            part = member.decompress(data, BLOCK)
-            data = member.unconsumed_tail or member.unused_data or (b"" if member.eof else f.read(BLOCK))
+        member, data = zlib.decompressobj(31), b""
+        while True:
+            data = data or f.read(BLOCK)
+            part = member.decompress(data, CHUNK_BYTES)
             ended = member.eof
-            if ended:
-                member = zlib.decompressobj(31)
-                data = data or f.read(BLOCK)
             if part or ended:
                 yield part, ended
+            elif not data:
+                return
+            data = member.unused_data if ended else member.unconsumed_tail
+            if ended:
+                member = zlib.decompressobj(31)
 
 
 def stream_records(store: fs.FileSystem, name: str) -> Iterator[tuple[dict[str, str], int, bytes, bool]]:
@@ -162,6 +163,8 @@ def stream_records(store: fs.FileSystem, name: str) -> Iterator[tuple[dict[str,
             if left or held != b"\r\n\r\n":
                 raise ValueError(f"{name}: a record is cut short")
             fields, held = None, b""
+    if fields is not None or held:
+        raise ValueError(f"{name}: the archive is cut short")
 
 
 def read_chunks(manifest: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ The postings move once, range-partitioned by (shingle, document), so that a shin
    of equal signature are one class, whose smallest id stands for it, so copies never meet again.
 2. Shingles are ordered by sketched count, rarest first. If two sets link, their prefixes of n - ceil(t * n) + m shingles share at least m
    of them, for every m. Each document takes the m of least estimated cost: a longer prefix reads more postings, but demands
-   more shared shingles of a candidate. A pair is held to the smaller m of the two, counting the shingles inside both prefixes.
+   more shared shingles of a candidate. Where all shared shingles of two prefixes are known, the pair needs as many as its
+   sizes leave room for: required overlap less the larger rest behind a prefix, which is m for the most unequal sizes and more for all others.
 3. Only components are wanted, so candidates are tried in stars first: in each posting list all members against one of them,
    over a few rounds with another centre each. Lists whose members are in one component by then have nothing left to find.
    The remaining pairs across components, held to m shared shingles, are all tried. No list is cut, no pair is dropped.
@@ -33,8 +34,8 @@ from .filters import marked, only, passing
 
 K, THRESHOLD = 3, 90
 #: Counters of the sketch: its size is fixed, whatever the input.
-SKETCH = 1 << 18
-BLOCKS = 16
+SKETCH = 1 << 20
+BLOCKS = 64
 MAX_MATCH = 4
 STAR_ROUNDS = 3
 
@@ -47,7 +48,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, row, h in shingle_sets(batch.column("text"), k):
-                counts += np.bincount((h >> U(46)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                counts += np.bincount((h >> U(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 n = np.bincount(row, minlength=b - a)
                 at = np.concatenate([[0], np.cumsum(n)])
                 one, two = (np.concatenate([[U(0)], np.cumsum(x, dtype=U)]) for x in (mix(h ^ U(0xA5A5A5A5)), mix(h + U(0x1234567))))
@@ -88,7 +89,7 @@ def _prefixes(docs: DataFrame, k: int, threshold: int, sketch: np.ndarray) -> Da
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, row, h in shingle_sets(batch.column("text"), k):
-                seen = counts[(h >> U(46)).astype(np.int64)]
+                seen = counts[(h >> U(44)).astype(np.int64)]
                 order = np.lexsort((h, seen, row))
                 h, seen = h[order], seen[order]
                 n = np.bincount(row, minlength=b - a)
@@ -201,10 +202,6 @@ def _match(s: str):
     return F.col(s).bitwiseAND(F.lit(0xFF00)) / 256
 
 
-def _level(s: str):
-    return F.col(s).bitwiseAND(F.lit(0xFF))
-
-
 def _similar(s: str, t: str, threshold: int):
     return F.least(_n(s), _n(t)) * 100 >= F.greatest(_n(s), _n(t)) * threshold
 
@@ -216,9 +213,8 @@ def link_components(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
     classes = written(rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefixes = _prefixes(docs, k, threshold, _sketch(profiles)).where(F.col("n") > 0).join(reps, "doc_id", "left_semi")
-    # a posting packs set size, number of matches and the level of its place in the prefix
-    level = F.greatest(F.lit(1), F.col("i") - F.col("first") + 2)
-    postings = prefixes.select("doc_id", "n", "match", "first", F.posexplode("tokens").alias("i", "token")).select("token", "doc_id", (F.shiftleft("n", 16) + F.shiftleft("match", 8) + level).alias("s"))
+    # a posting packs the set's size and number of matches
+    postings = prefixes.select("doc_id", (F.shiftleft("n", 16) + F.shiftleft("match", 8)).alias("s"), F.explode("tokens").alias("token")).select("token", "doc_id", "s")
     dealt = postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "s")
     shared = written(dealt.mapInArrow(_lists, "token long, doc_id long, s long, centre long, centre_s long"), "postings")
     sets = written(_sets(docs, k, marked(shared.select("doc_id"))), "sets")
@@ -242,8 +238,11 @@ def link_components(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
         if last:
             left, right = (own.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "s", "component")]) for side in "ab")
             pair = left.join(right, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _similar("s_a", "s_b", threshold))
-            most = F.least(_match("s_a"), _match("s_b"))
-            pair = pair.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count_if(F.greatest(_level("s_a"), _level("s_b")) <= most).alias("c"), F.min(most).alias("m")).where(F.col("c") >= F.col("m")).select("a", "b")
+            # all shared shingles of both prefixes are counted here. What follows the prefix that ends first adds at most its rest, so
+            # this many must be shared already for the whole sets to reach the threshold
+            rest = lambda x: F.floor((_n(x) * threshold + 99) / 100) - _match(x)
+            need = F.ceil((_n("s_a") + _n("s_b")) * threshold / (100 + threshold)) - F.greatest(rest("s_a"), rest("s_b"))
+            pair = pair.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count("*").alias("c"), F.min(need).alias("m")).where(F.col("c") >= F.col("m")).select("a", "b")
         else:
             pair = stars(own.where(F.col("component") != F.col("of_centre")))
         fresh = written(pair.join(tried, ["a", "b"], "left_anti"), "pairs")

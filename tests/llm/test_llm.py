@@ -207,6 +207,44 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(odd, bench).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("answered", [False, True])
+def test_decontamination_finds_what_brute_force_finds(spark, answered):
+    """Items of 5 to 1,000 words, copied whole or with a share of words replaced, against LCS at every passage."""
+    import numpy as np
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    weights = [1 / (i + 3) for i in range(2000)]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [text(n) for n in (5, 6, 8, 10, 12, 19, 20, 40, 100, 200, 300, 400, 600, 1000)]
+    rows = [(1000 + i, text(rng.choice((30, 200, 900)))) for i in range(30)]
+    rows += [(100 * k + i, text(rng.randint(0, 90)) + [w if rng.random() >= share else rng.choice(vocabulary) for w in x] + text(60)) for k, share in enumerate((0, 0.25, 0.35)) for i, x in enumerate(items)]
+    answers = [" ".join(x[len(x) // 2 :][:3]) for x in items]
+    bench = spark.createDataFrame([(i, " ".join(x), g) for i, (x, g) in enumerate(zip(items, answers, strict=True))], "item_id long, text string, answer string")
+    bench = bench if answered else bench.drop("answer")
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["shared"], 9), round(r["answer"], 9)) for r in decontaminate.contaminated(df, bench).collect()}
+    idf = decontaminate.document_frequencies(df)
+    hashed = {w: h for w in vocabulary for _, _, (h,), _, _ in decontaminate._words(__import__("pyarrow").array([w]))}
+    code = lambda x: np.array([hashed[w] for w in x], np.uint64)
+    want = {}
+    for d, x in rows:
+        words = code(x)
+        for i, item in enumerate(items):
+            own, answer = code(item), code(answers[i].split())
+            rare = np.unique(own[np.argsort(-idf[decontaminate._slot(own)], kind="stable")[: (len(own) + 1) // 2]])
+            window, stride = (32, 16) if len(own) >= 10 else (8, 4)
+            for at in range(0, len(words), stride):
+                near = words[max(0, at - len(own)) : at + window + len(own)]
+                if np.isin(own, near).sum() < 0.6 * len(own):
+                    continue
+                v = decontaminate.common_subsequence(own, near) / len(own)
+                g = decontaminate.common_subsequence(answer, near) / len(answer) if answered else float(np.isin(rare, near).mean())
+                if v >= 0.6 and g >= 0.5:
+                    want[d, i] = max(want.get((d, i), (0, 0)), (round(v, 9), round(g, 9)))
+    assert got == want and {(i, i) for i in range(len(items))} <= set(got)
+
+
 def test_common_subsequence():
     import numpy as np
 

@@ -158,6 +158,15 @@ def agglomerate(scores: DataFrame, seeds: DataFrame, nodes: DataFrame, minimum:
     return inside.unionByName(alone).groupBy("root").applyInPandas(merge, "root long, uid long, cluster long"), too_large
 
 
+def clusters_of_all(scores: DataFrame, seeds: DataFrame, nodes: DataFrame, minimum: float = 0.52, mean: float = 0.65, most: int = 5000) -> DataFrame:
+    """(root, uid, cluster, unmerged) of every node: agglomerate's clusters, and the nodes of components beyond `most`, each its own
+    cluster and marked as unmerged."""
+    seeds = checkpointed(seeds)
+    clusters, too_large = agglomerate(scores, seeds, nodes, minimum, mean, most)
+    large = connected(seeds.select("a", "b"), nodes).join(too_large, "root", "left_semi")
+    return clusters.withColumn("unmerged", F.lit(False)).unionByName(large.select("root", "uid", F.col("uid").alias("cluster"), F.lit(True).alias("unmerged")))
+
+
 def bounded_edges(edges: DataFrame, degree: int = 3, bonus: float = 0.10, max_rounds: int = 40) -> DataFrame:
     """Greedy choice by score + bonus per uncovered endpoint, at most `degree` edges a node. edges: a, b, score.
 
@@ -181,12 +190,21 @@ def bounded_edges(edges: DataFrame, degree: int = 3, bonus: float = 0.10, max_ro
     raise RuntimeError(f"bounded_edges: {max_rounds} rounds do not suffice")
 
 
-def orphan_swaps(chosen: DataFrame, eligible: DataFrame, nodes: DataFrame, degree: int = 3, most: int = 5000) -> DataFrame:
+def orphan_swaps(chosen: DataFrame, eligible: DataFrame, nodes: DataFrame, degree: int = 3) -> DataFrame:
     """Connects nodes without a chosen edge: their best eligible edge displaces the weakest edge at a full partner, if that edge's other
-    end keeps one. Works by component of eligible edges (bounded like agglomerate). chosen, eligible: a, b, score. Returns a, b, score."""
-    roots = connected(eligible.select("a", "b"), nodes)
-    small = roots.join(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= most), "root").select("uid", "root")
-    marked = eligible.select("a", "b", "score").join(chosen.select("a", "b", F.lit(True).alias("on")), ["a", "b"], "left").join(small.withColumnRenamed("uid", "a"), "a")
+    end keeps one. chosen, eligible: a, b, score. Returns a, b, score: of all components, whatever their size.
+
+    No swap leaves a node without an edge, so only eligible edges at nodes that have none at first can enter. A group is a component of
+    these and the chosen edges, at most `degree` a node; chosen edges of components without such a node stay as they are."""
+    on = checkpointed(chosen.select("a", "b", "score"))
+    ends = on.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    lone = nodes.select("uid").distinct().join(ends, "uid", "left_anti")
+    la, lb = lone.select(F.col("uid").alias("a"), F.lit(True).alias("la")), lone.select(F.col("uid").alias("b"), F.lit(True).alias("lb"))
+    entering = checkpointed(eligible.select("a", "b", "score").join(la, "a", "left").join(lb, "b", "left").where("la or lb").select("a", "b", "score"))
+    both = on.withColumn("on", F.lit(True)).unionByName(entering.withColumn("on", F.lit(False)))
+    roots = connected(both.select("a", "b"), both.select(F.explode(F.array("a", "b")).alias("uid")))
+    marked = both.join(roots.withColumnRenamed("uid", "a"), "a")
+    swapping = marked.where(~F.col("on")).select("root").distinct()
 
     def swap(pdf):
         on = {(a, b): s for a, b, s, x in zip(pdf["a"], pdf["b"], pdf["score"], pdf["on"].eq(True), strict=True) if x}
@@ -212,7 +230,8 @@ def orphan_swaps(chosen: DataFrame, eligible: DataFrame, nodes: DataFrame, degre
 
         return pd.DataFrame([(a, b, s) for (a, b), s in on.items()], columns=["a", "b", "score"])
 
-    return marked.groupBy("root").applyInPandas(swap, "a long, b long, score double")
+    swapped = marked.join(swapping, "root", "left_semi").groupBy("root").applyInPandas(swap, "a long, b long, score double")
+    return swapped.unionByName(marked.join(swapping, "root", "left_anti").select("a", "b", "score"))
 
 
 def relation_candidates(rankings: DataFrame, keywords: DataFrame, k: int, floor: float) -> DataFrame:

@@ -236,8 +236,7 @@ def topic_groups(spark, sf_dir):
 def topic_clusters(spark, sf_dir):
     items = _items(spark, sf_dir)
     scores = topics.pair_scores(_pairs(spark, sf_dir), items.select("uid", "label"), 0.25)
-    clusters, _ = topics.agglomerate(scores, topics.seed_edges(scores, strong=0.4, mutual=0.3), items.select("uid"), 0.25, 0.3)
-    return clusters
+    return topics.clusters_of_all(scores, topics.seed_edges(scores, strong=0.4, mutual=0.3), items.select("uid"), 0.25, 0.3)
 
 
 @query()

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain restatements and invariants on small inputs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,47 @@ def test_no_all_pairs_plans(spark):
     items = spark.createDataFrame([("s", 1, "x"), ("s", 2, "x")], "space string, uid long, item string")
     plan = topics.shared_items(items, ["space"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _swapped(chosen, eligible, degree=3):
+    """orphan_swaps over all edges at once, one by one."""
+    on = {(a, b): s for a, b, s in chosen}
+    deg = Counter(u for e in on for u in e)
+    for a, b, s in sorted(eligible, key=lambda e: (-e[2], e[0], e[1])):
+        if (a, b) in on or (deg[a] and deg[b]):
+            continue
+        other = b if not deg[a] else a
+        if deg[other] >= degree:
+            loose = sorted((x, e) for e, x in on.items() if other in e and deg[e[0] if e[1] == other else e[1]] > 1)
+            if not loose:
+                continue
+            del on[loose[0][1]]
+            deg.subtract(loose[0][1])
+        on[a, b] = s
+        deg.update((a, b))
+    return {(a, b, s) for (a, b), s in on.items()}
+
+
+def test_orphan_swaps_keep_large_components(spark):
+    rng = random.Random(8)
+    schema = "a long, b long, score double"
+    # a chain of more than 5,000 nodes keeps all its edges, and a hub's weakest edge makes way for a node without one
+    chain = [(i, i + 1, 0.5) for i in range(10, 5020)]
+    pairs = sorted({tuple(sorted(rng.sample(range(10000, 10040), 2))) for _ in range(150)})
+    dense = [(a, b, round(rng.random(), 6)) for a, b in pairs]
+    deg, chosen = Counter(), []
+    for a, b, s in dense[::3]:
+        if deg[a] < 3 and deg[b] < 3:
+            chosen.append((a, b, s))
+            deg.update((a, b))
+    nodes = sorted({u for a, b, _ in chain + dense for u in (a, b)})
+    got = topics.orphan_swaps(spark.createDataFrame(chain + chosen, schema), spark.createDataFrame(chain + dense + [(5, 6000, 0.9)], schema), spark.createDataFrame([(u,) for u in [5, 6000, *nodes]], "uid long"), 3)
+    got = [tuple(r) for r in got.select("a", "b", "score").collect()]
+    assert len(got) == len(set(got)) and set(got) == _swapped(chain + chosen, chain + dense + [(5, 6000, 0.9)]) and set(chain) <= set(got)
+
+
+def test_clusters_hold_every_node(spark):
+    scores = spark.createDataFrame([("s", i, i + 1, 0.9) for i in range(8)] + [("s", 20, 21, 0.9)], "space string, a long, b long, score double")
+    nodes = spark.createDataFrame([(i,) for i in [*range(9), 20, 21, 30]], "uid long")
+    got = {r["uid"]: (r["cluster"], r["unmerged"]) for r in topics.clusters_of_all(scores, scores, nodes, most=5).collect()}
+    assert got == {**{i: (i, True) for i in range(9)}, 20: (20, False), 21: (20, False), 30: (30, False)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from .retrieval import top_k
+from .tables import checkpointed
 
 
 def serving_facts(facts: DataFrame, sources: DataFrame) -> DataFrame:
@@ -33,29 +34,27 @@ def judge_facts(facts: DataFrame, sources: DataFrame, min_timelines: int = 2, mi
     return df.withColumn("status", status).withColumn("source_uid", F.when(F.col("__alive"), F.col("source_uid")).otherwise(F.col("best"))).select("fact_uid", "kind", "status", "source_uid", F.coalesce("n", F.lit(0)).alias("n_timelines"))
 
 
-def collapse_claims(claims: DataFrame, contained: int = 12, most: int = 5000) -> DataFrame:
-    """claims: profile, claim_id, text, at_s. Equal claims fall together first, by grouping; then, inside a profile, a claim that is
-    contained in a longer one joins it. The longest, then newest, stands for a group. Returns profile, claim_id, representative.
+def collapse_claims(claims: DataFrame, contained: int = 12) -> DataFrame:
+    """claims: profile, claim_id, text, at_s. Equal claims fall together first, by grouping; then, inside a profile, a claim of `contained`
+    characters or more that is contained in a longer one joins it. The longest, then newest, stands for a group. Returns profile,
+    claim_id, representative.
 
-    Containment is compared within a profile over distinct claims, longest first; `most` is the bound of that contract, and larger
-    profiles raise."""
+    Containers are found by a join on the claim's rarest gram of `contained` characters, which every container holds, and verified."""
     keyed = claims.withColumn("k", c.canonical_text(F.col("text")))
-    equal = keyed.groupBy("profile", "k").agg(F.max_by("claim_id", F.struct("at_s", "claim_id")).alias("rep"), F.max("at_s").alias("at_s"))
-
-    def fold(pdf):
-        if len(pdf) > most:
-            raise ValueError(f"a profile has {len(pdf)} distinct claims")
-        pdf = pdf.sort_values(["k", "rep"], key=lambda s: s.str.len() if s.name == "k" else s, ascending=[False, True])
-        heads, out = [], []
-        for k, rep in zip(pdf["k"], pdf["rep"], strict=True):
-            found = next((r for h, r in heads if len(k) >= contained and k in h), None)
-            if found is None:
-                heads.append((k, rep))
-            out.append(rep if found is None else found)
-        return pdf.assign(representative=out)[["profile", "k", "representative"]]
-
-    merged = equal.groupBy("profile").applyInPandas(fold, "profile string, k string, representative long")
-    return keyed.join(merged, ["profile", "k"]).select("profile", "claim_id", "representative")
+    equal = checkpointed(keyed.groupBy("profile", "k").agg(F.max_by("claim_id", F.struct("at_s", "claim_id")).alias("rep")))
+    places = F.sequence(F.lit(1), F.length("k") - contained + 1)
+    cut = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr("k", i, F.lit(contained)))))
+    grams = equal.where(F.length("k") >= contained).select("profile", "rep", F.explode(cut).alias("g"))
+    often = grams.groupBy("profile", "g").agg(F.count("*").alias("n"))
+    # a gram that no other claim has needs no partner
+    rarest = grams.join(often, ["profile", "g"]).groupBy("profile", "rep").agg(F.min(F.struct("n", "g")).alias("m")).where("m.n > 1").select("profile", F.col("rep").alias("__rep"), F.col("m.g").alias("g"))
+    own = equal.select("profile", F.col("rep").alias("__rep"), F.col("k").alias("__k"))
+    near = grams.join(rarest, ["profile", "g"]).where(F.col("rep") != F.col("__rep")).select("profile", "rep", "__rep").join(own, ["profile", "__rep"]).join(equal, ["profile", "rep"])
+    near = near.where((F.length("k") > F.length("__k")) & F.contains("k", "__k"))
+    # the longest container is contained in no other claim, or that would be longer
+    head = near.groupBy("profile", "__rep").agg(F.min(F.struct((-F.length("k")).alias("l"), "rep"))["rep"].alias("__head"))
+    merged = equal.join(head.withColumnRenamed("__rep", "rep"), ["profile", "rep"], "left").select(F.col("profile").alias("__p"), F.col("k").alias("__k"), F.coalesce("__head", "rep").alias("representative"))
+    return keyed.join(merged, F.col("profile").eqNullSafe(F.col("__p")) & F.col("k").eqNullSafe(F.col("__k"))).select("profile", "claim_id", "representative")
 
 
 def admission(evidence: DataFrame, min_timelines: int = 2, min_days: float = 1.0, min_confidence: float = 0.6, allowed: tuple[str, ...] = ("explicit", "observed")) -> DataFrame:

@@ -240,6 +240,13 @@ def record_quality(spark, sf_dir):
     return audit.record_issues(m)
 
 
+@query()
+def record_quality_whole(spark, sf_dir):
+    """record_quality over every line, not the first five."""
+    m = view(spark, sf_dir, "fx_memories").withColumn("key_facts", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("importance", F.col("importance") * 1.2)
+    return audit.record_issues(m)
+
+
 @query("""select case when vec_id % 7 = 0 then 'missing' when vec_id % 5 = 0 then 'provider_changed' when vec_id % 11 = 0 then 'dimension_changed' end as reason, count(*) as n from embeddings group by 1""")
 def embedding_reasons(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 != 0, F.when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))).alias("embedding"), F.when(F.col("vec_id") % 5 == 0, "old").otherwise("p").alias("provider"), F.lit("m").alias("model"))

@@ -28,8 +28,7 @@ def fact_windows(spark, sf_dir):
 @query()
 def bound_facts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    f = d.select(F.col("doc_id").alias("memory_id"), F.lit(0).alias("pos"), first.alias("fact"), F.lit(NOW).alias("start_s"))
+    f = d.select(F.col("doc_id").alias("memory_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "fact")).withColumn("start_s", F.lit(NOW))
     return facts.bind_anchors(d.select(F.col("doc_id").alias("memory_id"), "text"), f)
 
 

@@ -183,8 +183,8 @@ def fact_judgement(spark, sf_dir):
 @query()
 def claim_groups(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    lines = d.select(F.col("source").alias("profile"), "doc_id", F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), "\n", -1), 1, 1)).alias("i", "text"))
-    return profiles.collapse_claims(lines.select("profile", (F.col("doc_id") * 100 + F.col("i")).alias("claim_id"), "text", F.col("doc_id").cast("double").alias("at_s")))
+    lines = d.select(F.col("source").alias("profile"), "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "text"))
+    return profiles.collapse_claims(lines.select("profile", F.struct("doc_id", "i").alias("claim_id"), "text", F.col("doc_id").cast("double").alias("at_s")))
 
 
 @query()

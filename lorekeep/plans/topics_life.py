@@ -273,6 +273,13 @@ def shared_features(spark, sf_dir):
     return topics.shared_items(rare, ["space"]).select("space", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query()
+def shared_features_whole(spark, sf_dir):
+    """shared_features over whole texts and all features: exact, and of a cost that grows with the square of a language's documents."""
+    f = view(spark, sf_dir, "fx_memories").select(F.col("doc_id").alias("uid"), F.col("persona_id").alias("space"), F.explode(c.retrieval_features(F.col("text"))).alias("item"))
+    return topics.shared_items(f, ["space"]).select("space", "a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("""with l as (select distinct l_suppkey as topic_id, l_orderkey as timeline, l_orderkey % 50 as cluster, case when l_linenumber % 2 = 0 then l_discount::double end as confidence from lineitem),
 p as (select topic_id, timeline, cluster, coalesce(avg(confidence), 0.5) as similarity from l group by all), n as (select *, count(*) over (partition by topic_id, cluster) as n from p)
 select topic_id, timeline, cluster, round(similarity, 6) as similarity, round(least(1, 0.6 + 0.4 / n), 6) as contribution, round(1.0 / n, 6) as affinity from n""")

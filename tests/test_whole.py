@@ -19,6 +19,15 @@ def sf(spark, tmp_path_factory):
     return path
 
 
+def test_shared_features_of_whole_texts(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join([f"own{i}x{j}" for j in range(40)] + rng.choices([f"late{j}" for j in range(30)], k=12) + ["everywhere"]) for i in range(25)]
+    spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [set(x.split()) for x in texts]
+    want = {(i, j): round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6) for i in range(25) for j in range(i + 1, 25)}
+    assert {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["shared_features_whole"](spark, str(tmp_path)).collect()} == want
+
+
 def test_claims_against_all_pairs(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abc ") for _ in range(rng.randint(20, 60))) for _ in range(25)]

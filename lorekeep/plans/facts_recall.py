@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as c
 from ..operators import facts, recall, retrieval
 from .fixtures import NOW, table, view, with_views
 from .recall import query
@@ -42,8 +43,21 @@ def topic_recall(spark, sf_dir):
     supported = recall.context_support(branches).withColumn("actor_hit", F.col("topic_id") % 5 == 0).withColumn("affect", F.lit(0.0))
     known = items.select(F.col("doc_id").alias("topic_id"), (F.col("doc_id") % 10 / 10).alias("importance_now"), F.lit(0.7).alias("confidence"))
     found = recall.topic_recall(supported, known, 5)
-    timelines = hits.select("query_id", F.col("doc_id").alias("id"), "score")
-    none = timelines.limit(0)
-    return recall.unified(found.select("query_id", F.col("topic_id").alias("id"), "score"), none, timelines, queries, 8)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    features = d.select("doc_id", c.retrieval_features(F.col("text")).alias("features"))
+    asked = features.select(F.col("doc_id").alias("query_id"), F.col("features").alias("asked"))
+    # a topic's fragments are the lines of its document, with the topic's vector; a fragment's id holds both
+    lines = d.select(F.col("doc_id").alias("topic_id"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where("trim(line) <> ''")
+    lines = lines.select("topic_id", (F.col("topic_id") * 1000000 + F.col("i")).alias("fragment_id"), c.retrieval_features(F.col("line")).alias("features"))
+    near = found.select("query_id", "topic_id", F.col("relevance").alias("cosine")).join(lines, "topic_id").join(asked, "query_id")
+    near = near.withColumn("terms", F.size(F.array_intersect("features", "asked")) / F.size("asked")).join(features.select(F.col("doc_id").alias("topic_id"), F.col("features").alias("parent_features")), "topic_id")
+    fragments = recall.fragment_supplements(near, found, 3)
+    # timelines are the documents of all hits; those of a recalled topic's label are linked to it
+    tops = found.select("query_id", "topic_id").join(features.withColumnRenamed("doc_id", "topic_id"), "topic_id")
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    one, two = labels.select(F.col("vec_id").alias("topic_id"), "label"), labels.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("other"))
+    links = tops.select("query_id", "topic_id").join(hits.select("query_id", "doc_id"), "query_id").join(one, "topic_id").join(two, "doc_id").where("label = other").select("topic_id", "doc_id").distinct()
+    timelines = recall.timeline_supplements(hits.select("query_id", "doc_id", "score").join(features, "doc_id"), tops, links, 8)
+    return recall.unified(found.select("query_id", F.col("topic_id").alias("id"), "score"), fragments.select("query_id", F.col("fragment_id").alias("id"), "score"), timelines.select("query_id", F.col("doc_id").alias("id"), "score"), queries, 8)
 
 

@@ -63,3 +63,13 @@ def test_bound_facts_hold_every_line(spark, sf):
 def test_record_quality_sees_every_line(spark, sf):
     got = {(r["doc_id"], r["code"]) for r in registry.QUERIES["record_quality_whole"](spark, sf).collect()}
     assert {(2, "empty_fact"), (0, "duplicate_fact")} <= got and (1, "empty_fact") not in got
+
+
+def test_topic_recall_has_fragments(spark):
+    sf = "/root/testdata/sf0.001"
+    out = registry.QUERIES["topic_recall"](spark, sf).collect()
+    texts = {r["doc_id"]: (r["text"] or "").split("\n") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    topics = {(r["query_id"], r["id"]) for r in out if r["kind"] == "topic"}
+    fragments = [r for r in out if r["kind"] == "fragment"]
+    assert fragments and all((r["query_id"], r["id"] // 1000000) in topics and texts[r["id"] // 1000000][r["id"] % 1000000].strip() for r in fragments)
+    assert not {r["query_id"] for r in fragments} & {r["query_id"] for r in out if r["kind"] == "timeline"}

@@ -178,6 +178,14 @@ def range_overlap(spark, sf_dir):
     return sessions.range_overlap_join(s.select(F.col("memory_id").alias("item_id"), F.col("start_s").alias("s"), F.col("end_s").alias("e")), ranges).select("item_id", "range_id")
 
 
+@query(with_views("fx_spans") + SPAN_S + ", r as (select memory_id as range_id, start_s - 300 as lo, start_s + 300 as hi from s) select memory_id as item_id, range_id from s join r on start_s <= hi and end_s >= lo")
+def range_overlap_whole(spark, sf_dir):
+    """range_overlap with every row as a range."""
+    s = _span_seconds(spark, sf_dir)
+    ranges = s.select(F.col("memory_id").alias("range_id"), (F.col("start_s") - 300).alias("lo"), (F.col("start_s") + 300).alias("hi"))
+    return sessions.range_overlap_join(s.select(F.col("memory_id").alias("item_id"), F.col("start_s").alias("s"), F.col("end_s").alias("e")), ranges).select("item_id", "range_id")
+
+
 @query(M + UNITS + """, w as (select session_id, unit as "window", min(id) as a, max(id) as b from u group by all)
 select w.session_id, w."window", count(distinct case when role = 'user' then sender_id end) as n_humans, count(distinct case when role = 'assistant' then sender_id end) as n_bots, min(case when role = 'assistant' then sender_id end) as narrator
 from w join fx_messages m on w.session_id = m.session_id and m.id between a and b group by all""")

@@ -73,3 +73,12 @@ def test_topic_recall_has_fragments(spark):
     fragments = [r for r in out if r["kind"] == "fragment"]
     assert fragments and all((r["query_id"], r["id"] // 1000000) in topics and texts[r["id"] // 1000000][r["id"] % 1000000].strip() for r in fragments)
     assert not {r["query_id"] for r in fragments} & {r["query_id"] for r in out if r["kind"] == "timeline"}
+
+
+def test_every_row_is_a_range(spark):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.execute(f"create view events as select * from '{sf}/events.parquet'")
+    got = sorted((r["item_id"], r["range_id"]) for r in registry.QUERIES["range_overlap_whole"](spark, sf).collect())
+    assert got == sorted(con.execute(registry.SQL["range_overlap_whole"]).fetchall()) and {r for _, r in got} == set(range(min(r for _, r in got), max(r for _, r in got) + 1))

@@ -2,29 +2,39 @@ r"""Operator 10: n-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct k-word shingles, as 64-bit hashes. Two documents link when 100 * |A and B| >= threshold * |A or B|.
 
-The postings move once, range-partitioned by (shingle, document), so that a shingle of many documents is dealt to many tasks.
+The postings move once, range-partitioned by (shingle, position, document), so that a shingle of many documents is dealt to many tasks.
 
 1. One pass over the text: set size and a 128-bit signature per document, and a fixed-size sketch of shingle counts. Documents
    of equal signature are one class, whose smallest id stands for it, so copies never meet again.
 2. Shingles are ordered by sketched count, rarest first. If two sets link, their prefixes of n - ceil(t * n) + m shingles share at least m
    of them, for every m. Each document takes the m of least estimated cost: a longer prefix reads more postings, but demands
-   more shared shingles of a candidate. Where all shared shingles of two prefixes are known, the pair needs as many as its
-   sizes leave room for: required overlap less the larger rest behind a prefix, which is m for the most unequal sizes and more for all others.
-3. Only components are wanted, so candidates are tried in stars first: in each posting list all members against one of them,
-   over a few rounds with another centre each. Lists whose members are in one component by then have nothing left to find.
-   The remaining pairs across components, held to m shared shingles, are all tried. No list is cut, no pair is dropped.
-4. A tried pair is verified on the whole sets.
+   more shared shingles of a candidate.
+3. A posting carries its position. Two sets that link share `need` shingles at least, from their sizes; what follows position i adds at most
+   n - i - 1. So the first m shared shingles of a linking pair stand at n - need + m - 1 or before in both, and only such
+   postings may form a row of a pair; m of them make it a candidate. A text with edits of its own has its own shingles first, so its
+   shared ones stand beyond that place, and it meets no other member of a large group at all.
+4. Only components are wanted, so candidates are tried in stars first: in each posting list all members against the one with the
+   earliest position, then, as long as lists shrink, against others. Lists whose members are in one component by then have nothing left to
+   find. The remaining pairs across components are all tried, within bands of size. No list is cut, no pair is dropped.
+5. A tried pair is verified on the whole sets.
 
 Defined results: null and empty texts have no shingles and link with nothing; a null doc_id has component null; rows that repeat a
-doc_id are one document that has the links of each row; ties of counts are broken by the hash; an empty table gives an
-empty result. Memory: a few hundred kilobytes of text at a time, one document at least, and a sketch of fixed size.
+doc_id are one document that has the links of each row; ties of counts are broken by the hash; other columns, whatever their names,
+are not looked at; an empty table gives an empty result. Memory: a few hundred kilobytes of text at a time, one document at least (a
+very long one is taken whole), Arrow batches of at most 64 MB, and a sketch of fixed size.
+
+Scale: the sketch's noise is the root of the mean load of its counters. Groups of documents smaller than that are ordered by chance, as by a random
+order of shingles, and their candidates are pruned by sizes and positions only; larger groups stand out and are pruned as above.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, written
@@ -34,62 +44,80 @@ from .filters import marked, only, passing
 
 K, THRESHOLD = 3, 90
 #: Counters of the sketch: its size is fixed, whatever the input.
-SKETCH = 1 << 20
+SKETCH_LOG = 22
+SKETCH = 1 << SKETCH_LOG
 BLOCKS = 64
 MAX_MATCH = 4
-STAR_ROUNDS = 3
+#: Stars go on while the open postings shrink to this share or less, and for so many rounds at most; what they leave is tried in full.
+SHRINK, MAX_STARS = 0.8, 8
+#: Bits of a posting's packed word below the set's size: number of matches, then position.
+MATCH_BITS, POSITION_BITS = 4, 30
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - SKETCH_LOG)).astype(np.int64)
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (doc_id, n, sig_a, sig_b), and one row a task and block with the task's share of the sketch."""
+    """Rows of documents (doc_id, n, sig_a, sig_b), and one row a task and block with the task's share of the sketch: a byte a
+    counter, and (counter, rest) for those above 255."""
 
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, row, h in shingle_sets(batch.column("text"), k):
-                counts += np.bincount((h >> U(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                np.add.at(counts, _counter(h), np.uint32(1))
                 n = np.bincount(row, minlength=b - a)
                 at = np.concatenate([[0], np.cumsum(n)])
                 one, two = (np.concatenate([[U(0)], np.cumsum(x, dtype=U)]) for x in (mix(h ^ U(0xA5A5A5A5)), mix(h + U(0x1234567))))
                 sig = [pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in (one, two)]
-                none = pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())
+                none = pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()), pa.nulls(b - a, pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), *sig, *none], names=names)
-        parts = np.split(counts, BLOCKS)
-        empty = [pa.nulls(BLOCKS, pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+        for block, part in enumerate(np.split(counts, BLOCKS)):
+            if part.any():
+                over = np.flatnonzero(part > 255).astype(np.uint32)
+                many = np.stack([over, part[over] - np.uint32(255)], axis=1).tobytes()
+                part = np.minimum(part, 255).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([block], pa.int32()), pa.array([part], pa.binary()), pa.array([many], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "sig_a", "sig_b", "block", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, block int, counts binary")
+    names = ["doc_id", "n", "sig_a", "sig_b", "block", "counts", "over"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, block int, counts binary, over binary")
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
-    """The summed sketch: BLOCKS rows of fixed size come to the driver."""
+    """The summed sketch. A block's shares are streamed into one sum, however many tasks gave one; BLOCKS sums of fixed size come to the driver."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts, over in zip(batch.column("block").to_pylist(), batch.column("counts"), batch.column("over"), strict=True):
+                one = total.setdefault(block, np.zeros(SKETCH // BLOCKS, np.int64))
+                one += np.frombuffer(counts.as_buffer(), np.uint8)
+                if over.as_py():
+                    at, rest = np.frombuffer(over.as_buffer(), np.uint32).reshape(-1, 2).T
+                    one[at] += rest
+        for block, one in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.minimum(one, (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())], names=["block", "counts"])
 
-    rows = profiles.where(F.col("block").isNotNull()).select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(SKETCH, np.int64)
-    for r in rows:
-        size = SKETCH // BLOCKS
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
-    return out
+    shares = profiles.where(F.col("block").isNotNull()).select("block", "counts", "over").repartition(BLOCKS, "block")
+    out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.int32)
+    for r in shares.mapInArrow(add, "block int, counts binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
 
 
-def _prefixes(docs: DataFrame, k: int, threshold: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, match, first, tokens): the ordered prefix for the chosen number of matches; first is its length for one match."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int32) if sketch.max(initial=0) < 1 << 31 else sketch)
-    load = float(sketch.sum()) / SKETCH
-    floor = load + 3 * load**0.5
+def _prefixes(docs: DataFrame, k: int, threshold: int, shared: Broadcast) -> DataFrame:
+    """(doc_id, n, match, tokens): the ordered prefix for the chosen number of matches. shared: the summed sketch."""
 
     def run(batches):
         counts = shared.value
+        load = float(counts.sum(dtype=np.int64)) / SKETCH
+        floor = load + 3 * load**0.5
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, row, h in shingle_sets(batch.column("text"), k):
-                seen = counts[(h >> U(44)).astype(np.int64)]
+                seen = counts[_counter(h)]
                 order = np.lexsort((h, seen, row))
                 h, seen = h[order], seen[order]
                 n = np.bincount(row, minlength=b - a)
@@ -106,17 +134,16 @@ def _prefixes(docs: DataFrame, k: int, threshold: int, sketch: np.ndarray) -> Da
                 length = np.where(n > 0, np.minimum(first + match - 1, n), 0)
                 inside = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(length, n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(h[inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(match), pa.array(first.astype(np.int32)), tokens], names=["doc_id", "n", "match", "first", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(match), tokens], names=["doc_id", "n", "match", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, match long, first int, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, match long, tokens array<long>")
 
 
-def _sets(docs: DataFrame, k: int, bitmap: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, k: int, shared_bits: Broadcast) -> DataFrame:
     """(doc_id, shingles) of the documents that pass the filter: the sorted hashes, 6 bytes each."""
-    shared_bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches):
-        bits = np.unpackbits(shared_bits.value).view(bool)
+        bits = shared_bits.value
         for batch in batches:
             batch = only(batch, bits)
             ids = batch.column("doc_id")
@@ -134,9 +161,10 @@ def _whole(packed: pa.Scalar) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link. Only sets that a pair names move; a document of many pairs is split by AQE's skew join."""
-    of_a, of_b = (passing(sets, marked(pairs.select(x))).select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, others: DataFrame | None = None) -> DataFrame:
+    """Writes the pairs (a, b) that link, and others besides. Only sets that a pair names move; a document of many pairs is split by AQE's skew join."""
+    bits = {x: marked(pairs.select(x)) for x in "ab"}
+    of_a, of_b = (passing(sets, bits[x]).select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     both = pairs.select("a", "b").join(of_b, "b").join(of_a, "a")
 
     def run(batches):
@@ -150,12 +178,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 keep.append(100 * shared >= threshold * (len(one) + len(two) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
+    found = both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
+    out = written(found if others is None else found.union(others), "verified")
+    for x in bits.values():
+        x.destroy()
+    return out
 
 
 def _lists(batches):
-    """Streams postings sorted by (token, doc_id, s). Emits those whose token has several documents, or touches the border of the
-    partition, with the first document as centre. State: one posting."""
+    """Streams postings sorted by (token, position, doc_id). Emits those whose token has several documents, or touches the border of the
+    partition, with the first document, which has the fewest rarer shingles, as centre. State: one posting."""
     names = ["token", "doc_id", "s", "centre", "centre_s"]
     held, carry, began = None, None, True  # held: a posting that is alone so far; carry: (token, centre, its s)
 
@@ -194,62 +226,98 @@ def _lists(batches):
         yield out(*held)
 
 
-def _n(s: str):
-    return F.shiftright(s, 16)
+def _n(s: str) -> Column:
+    return F.shiftright(s, MATCH_BITS + POSITION_BITS)
+
+
+def _match(s: str) -> Column:
+    return F.shiftright(s, POSITION_BITS).bitwiseAND(F.lit((1 << MATCH_BITS) - 1))
+
+
+def _position(s: str) -> Column:
+    return F.col(s).bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
 
 
-def _match(s: str):
-    return F.col(s).bitwiseAND(F.lit(0xFF00)) / 256
+def _need(n_a: Column, n_b: Column, threshold: int) -> Column:
+    """The fewest shared shingles with which sets of these sizes link."""
+    return F.ceil((n_a + n_b) * threshold / (100 + threshold))
 
 
-def _similar(s: str, t: str, threshold: int):
-    return F.least(_n(s), _n(t)) * 100 >= F.greatest(_n(s), _n(t)) * threshold
+def _may_link(s: str, t: str, threshold: int) -> Column:
+    """Whether two postings of a shingle may be among the first m shared ones of a linking pair, m the smaller number of matches."""
+    n_a, n_b, most = _n(s), _n(t), F.least(_match(s), _match(t)) - 1 - _need(_n(s), _n(t), threshold)
+    similar = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * threshold
+    return similar & (_position(s) <= n_a + most) & (_position(t) <= n_b + most)
+
+
+def _candidates(rows: DataFrame, a: str, b: str, s: str, t: str) -> DataFrame:
+    """The pairs (a, b), smaller id first, that share as many shingles as their prefixes demand."""
+    pair = rows.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count("*").alias("c"), F.min(F.least(_match(s), _match(t))).alias("m"))
+    return pair.where(F.col("c") >= F.col("m")).select("a", "b")
+
+
+def _stars(found: DataFrame, threshold: int) -> DataFrame:
+    """Members against centres."""
+    rows = found.where((F.col("doc_id") != F.col("centre")) & _may_link("s", "centre_s", threshold))
+    return _candidates(rows, "doc_id", "centre", "s", "centre_s")
+
+
+def _band(n: Column, threshold: int) -> Column:
+    """Sizes in bands a little wider than the threshold's ratio: two sets that link are in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / threshold) * 1.000001)).cast("int") if threshold < 100 else n.cast("int")
+
+
+def _across(own: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of different components. The smaller set of a pair needs few of its postings only, as the other's size is no less than its own."""
+    cut = own.withColumn("n", _n("s"))
+    large = cut.select("token", _band(F.col("n"), threshold).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "s", "component", "n")])
+    needed = _position("s") <= F.col("n") - _need(F.col("n"), F.col("n"), threshold) + _match("s") - 1
+    small = cut.where(needed).select("token", F.explode(F.sequence(_band(F.col("n"), threshold), _band(F.col("n"), threshold) + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "s", "component", "n")])
+    ordered = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") > F.col("doc_id_b")))
+    # conditions on both sides stay in the join, so that it gives no row that they refuse
+    rows = large.join(small, ["token", "band"]).where(ordered & (F.col("component_a") != F.col("component_b")) & _may_link("s_a", "s_b", threshold))
+    return _candidates(rows, "doc_id_a", "doc_id_b", "s_a", "s_b")
 
 
 def link_components(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
+    context = docs.sparkSession.sparkContext
     profiles = written(_profiles(docs, k), "profiles")
     rows = profiles.where(F.col("block").isNull()).select("doc_id", "n", "sig_a", "sig_b")
     classes = written(rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    prefixes = _prefixes(docs, k, threshold, _sketch(profiles)).where(F.col("n") > 0).join(reps, "doc_id", "left_semi")
-    # a posting packs the set's size and number of matches
-    postings = prefixes.select("doc_id", (F.shiftleft("n", 16) + F.shiftleft("match", 8)).alias("s"), F.explode("tokens").alias("token")).select("token", "doc_id", "s")
-    dealt = postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "s")
-    shared = written(dealt.mapInArrow(_lists, "token long, doc_id long, s long, centre long, centre_s long"), "postings")
-    sets = written(_sets(docs, k, marked(shared.select("doc_id"))), "sets")
-
-    def stars(found: DataFrame) -> DataFrame:
-        """Members against centres; a pair needs its shared shingles here too, as stars need not be exhaustive."""
-        pair = found.where((F.col("doc_id") != F.col("centre")) & _similar("s", "centre_s", threshold))
-        most = F.least(_match("s"), _match("centre_s"))
-        pair = pair.groupBy(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).agg(F.count("*").alias("c"), F.min(most).alias("m"))
-        return pair.where(F.col("c") >= F.col("m")).select("a", "b")
-
-    tried = written(stars(shared), "pairs")
-    links = written(_verified(tried, sets, threshold), "verified")
-    for turn in range(1, STAR_ROUNDS + 1):
+    sketch = context.broadcast(_sketch(profiles))
+    prefixes = _prefixes(docs, k, threshold, sketch).where(F.col("n") > 0).join(reps, "doc_id", "left_semi")
+    postings = prefixes.select("doc_id", (F.shiftleft("n", MATCH_BITS + POSITION_BITS) + F.shiftleft("match", POSITION_BITS)).alias("s"), F.posexplode("tokens").alias("pos", "token")).select("token", "pos", "doc_id", (F.col("s") + F.col("pos")).alias("s"))
+    dealt = postings.repartitionByRange("token", "pos", "doc_id").sortWithinPartitions("token", "pos", "doc_id").select("token", "doc_id", "s")
+    lists = written(dealt.mapInArrow(_lists, "token long, doc_id long, s long, centre long, centre_s long"), "postings")
+    sketch.destroy()
+    bits = marked(lists.select("doc_id"))
+    sets = written(_sets(docs, k, bits), "sets")
+    bits.destroy()
+
+    tried = written(_stars(lists, threshold), "pairs")
+    links = _verified(tried, sets, threshold)
+    own, before = lists.select("token", "doc_id", "s"), None
+    for turn in range(1, MAX_STARS + 2):
         labels = components(links)
-        own = shared.select("token", "doc_id", "s").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        own = own.select("token", "doc_id", "s").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         apart = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("centre"), F.col("s").alias("centre_s"), F.col("component").alias("of_centre"))).alias("c")).where(F.col("lo") < F.col("hi"))
-        # what can still join two components: the postings of lists that reach over both
-        own = written(own.join(apart.select("token", "c.centre", "c.centre_s", "c.of_centre"), "token"), "open-postings")
-        last = turn == STAR_ROUNDS
-        if last:
-            left, right = (own.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "s", "component")]) for side in "ab")
-            pair = left.join(right, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _similar("s_a", "s_b", threshold))
-            # all shared shingles of both prefixes are counted here. What follows the prefix that ends first adds at most its rest, so
-            # this many must be shared already for the whole sets to reach the threshold
-            rest = lambda x: F.floor((_n(x) * threshold + 99) / 100) - _match(x)
-            need = F.ceil((_n("s_a") + _n("s_b")) * threshold / (100 + threshold)) - F.greatest(rest("s_a"), rest("s_b"))
-            pair = pair.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count("*").alias("c"), F.min(need).alias("m")).where(F.col("c") >= F.col("m")).select("a", "b")
-        else:
-            pair = stars(own.where(F.col("component") != F.col("of_centre")))
+        # what can still join two components: the postings of lists that reach over both; a written table lets AQE split a long list
+        apart = written(apart.select("token", "c.centre", "c.centre_s", "c.of_centre"), "open-lists")
+        own = written(own.join(apart, "token"), "open-postings")
+        size = own.count()
+        last = turn > MAX_STARS or (before is not None and size > SHRINK * before)
+        before = size
+        if not size:
+            break
+        pair = _across(own, threshold) if last else _stars(own.where(F.col("component") != F.col("of_centre")), threshold)
         fresh = written(pair.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        links = written(links.union(_verified(fresh, sets, threshold)), "verified")
-        tried = tried.union(fresh)
+        if not fresh.isEmpty():
+            links = _verified(fresh, sets, threshold, links)
+            tried = tried.union(fresh)
+        if last:
+            break
     # a doc_id with several texts joins the classes of them all
     many = rows.where(F.col("n") > 0).groupBy("doc_id").agg(F.count("*").alias("c")).where((F.col("c") > 1) & F.col("doc_id").isNotNull())
     joins = rows.join(many, "doc_id", "left_semi").join(classes, ["sig_a", "sig_b", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -10,12 +10,12 @@ The postings move once, range-partitioned by (shingle, position, document), so t
    of them, for every m. Each document takes the m of least estimated cost: a longer prefix reads more postings, but demands
    more shared shingles of a candidate.
 3. A posting carries its position. Two sets that link share `need` shingles at least, from their sizes; what follows position i adds at most
-   n - i - 1. So the first m shared shingles of a linking pair stand at n - need + m - 1 or before in both, and only such
-   postings may form a row of a pair; m of them make it a candidate. A text with edits of its own has its own shingles first, so its
-   shared ones stand beyond that place, and it meets no other member of a large group at all.
+   n - i - 1. So the first m shared shingles of a linking pair stand at n - need + m - 1 or before in both. A pair is a candidate if one
+   shared shingle is early enough to be its first, and m of them are early enough to be its first m. A text with edits of its own has its own
+   shingles first, so its shared ones come too late, and it meets no other member of a large group at all.
 4. Only components are wanted, so candidates are tried in stars first: in each posting list all members against the one with the
-   earliest position, then, as long as lists shrink, against others. Lists whose members are in one component by then have nothing left to
-   find. The remaining pairs across components are all tried, within bands of size. No list is cut, no pair is dropped.
+   earliest position, and, while many pairs are left and lists shrink, against others. Lists whose members are in one component by then have
+   nothing left to find. The remaining pairs across components are all tried, within bands of size. No list is cut, no pair is dropped.
 5. A tried pair is verified on the whole sets.
 
 Defined results: null and empty texts have no shingles and link with nothing; a null doc_id has component null; rows that repeat a
@@ -48,8 +48,11 @@ SKETCH_LOG = 22
 SKETCH = 1 << SKETCH_LOG
 BLOCKS = 64
 MAX_MATCH = 4
-#: Stars go on while the open postings shrink to this share or less, and for so many rounds at most; what they leave is tried in full.
-SHRINK, MAX_STARS = 0.8, 8
+#: More stars are tried while the pairs of open lists are more than so many a posting, and shrink to this share or less, for so many rounds at
+#: most; what they leave is tried in full.
+PAIRS, SHRINK, MAX_STARS = 50, 0.8, 8
+#: In lists of at most so many postings, those that can link with no other are dropped at once.
+SMALL_LIST = 4
 #: Bits of a posting's packed word below the set's size: number of matches, then position.
 MATCH_BITS, POSITION_BITS = 4, 30
 
@@ -161,10 +164,13 @@ def _whole(packed: pa.Scalar) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, others: DataFrame | None = None) -> DataFrame:
-    """Writes the pairs (a, b) that link, and others besides. Only sets that a pair names move; a document of many pairs is split by AQE's skew join."""
-    bits = {x: marked(pairs.select(x)) for x in "ab"}
-    of_a, of_b = (passing(sets, bits[x]).select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, others: DataFrame | None = None) -> DataFrame:
+    """Writes the pairs (a, b) that link, and others besides. Only sets that a pair names are made; a document of many pairs is split by
+    AQE's skew join."""
+    bits = marked(pairs.select(F.explode(F.array("a", "b"))))
+    sets = written(_sets(docs, k, bits), "sets")
+    bits.destroy()
+    of_a, of_b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     both = pairs.select("a", "b").join(of_b, "b").join(of_a, "a")
 
     def run(batches):
@@ -179,15 +185,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, others: DataFra
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     found = both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
-    out = written(found if others is None else found.union(others), "verified")
-    for x in bits.values():
-        x.destroy()
+    return written(found if others is None else found.union(others), "verified")
+
+
+def _partners(group: np.ndarray, size: np.ndarray, s: np.ndarray, threshold: int) -> np.ndarray:
+    """Which postings may link with another of their list (see _may_link), or stand in a list too long to look at here."""
+    out = size[group] > SMALL_LIST
+    n, most, at = s >> (MATCH_BITS + POSITION_BITS), (s >> POSITION_BITS) & ((1 << MATCH_BITS) - 1), s & ((1 << POSITION_BITS) - 1)
+    for d in range(1, SMALL_LIST):
+        x, y = slice(None, -d), slice(d, None)
+        least = np.minimum(most[x], most[y]) - 1 - -(-(n[x] + n[y]) * threshold // (100 + threshold))
+        may = (group[x] == group[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * threshold) & (at[x] <= n[x] + least) & (at[y] <= n[y] + least)
+        out[x] |= may
+        out[y] |= may
     return out
 
 
-def _lists(batches):
-    """Streams postings sorted by (token, position, doc_id). Emits those whose token has several documents, or touches the border of the
-    partition, with the first document, which has the fewest rarer shingles, as centre. State: one posting."""
+def _lists(batches, threshold: int):
+    """Streams postings sorted by (token, position, doc_id). Emits those whose token has several documents that may link, or touches the border
+    of the partition, with the first document, which has the fewest rarer shingles, as centre. State: one posting."""
     names = ["token", "doc_id", "s", "centre", "centre_s"]
     held, carry, began = None, None, True  # held: a posting that is alone so far; carry: (token, centre, its s)
 
@@ -218,6 +234,10 @@ def _lists(batches):
         elif held is not None:
             held = None
         pick = keep[group]
+        inner = np.ones(len(keep), bool)  # lists that lie whole in this batch
+        inner[-1] = False
+        inner[0] &= not (goes_on or began)
+        pick &= ~inner[group] | _partners(group, size, s, threshold)
         yield out(t[pick], d[pick], s[pick], centre[group[pick]], centre_s[group[pick]])
         if not keep[-1]:
             held = t[-1:], d[-1:], s[-1:], d[-1:], s[-1:]
@@ -243,23 +263,25 @@ def _need(n_a: Column, n_b: Column, threshold: int) -> Column:
     return F.ceil((n_a + n_b) * threshold / (100 + threshold))
 
 
-def _may_link(s: str, t: str, threshold: int) -> Column:
-    """Whether two postings of a shingle may be among the first m shared ones of a linking pair, m the smaller number of matches."""
-    n_a, n_b, most = _n(s), _n(t), F.least(_match(s), _match(t)) - 1 - _need(_n(s), _n(t), threshold)
+def _may_link(s: str, t: str, threshold: int, most: Column | None = None) -> Column:
+    """Whether two postings of a shingle may be among the first `most` shared ones of a linking pair; the smaller number of matches if not given."""
+    n_a, n_b = _n(s), _n(t)
+    last = (F.least(_match(s), _match(t)) if most is None else most) - 1 - _need(n_a, n_b, threshold)
     similar = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * threshold
-    return similar & (_position(s) <= n_a + most) & (_position(t) <= n_b + most)
+    return similar & (_position(s) <= n_a + last) & (_position(t) <= n_b + last)
 
 
-def _candidates(rows: DataFrame, a: str, b: str, s: str, t: str) -> DataFrame:
-    """The pairs (a, b), smaller id first, that share as many shingles as their prefixes demand."""
-    pair = rows.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count("*").alias("c"), F.min(F.least(_match(s), _match(t))).alias("m"))
-    return pair.where(F.col("c") >= F.col("m")).select("a", "b")
+def _candidates(rows: DataFrame, threshold: int) -> DataFrame:
+    """rows: (a, b, s, t), two documents and their postings of a shared shingle. The pairs that share early shingles in the number demanded."""
+    most = F.least(_match("s"), _match("t"))
+    pair = rows.where(_may_link("s", "t", threshold)).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(most).alias("m"), F.max(_may_link("s", "t", threshold, F.lit(1))).alias("first"))
+    return pair.where((F.col("c") >= F.col("m")) & F.col("first")).select("a", "b")
 
 
 def _stars(found: DataFrame, threshold: int) -> DataFrame:
-    """Members against centres."""
-    rows = found.where((F.col("doc_id") != F.col("centre")) & _may_link("s", "centre_s", threshold))
-    return _candidates(rows, "doc_id", "centre", "s", "centre_s")
+    """Members against centres, smaller id first."""
+    other = F.col("doc_id") != F.col("centre")
+    return _candidates(found.where(other).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"), "s", F.col("centre_s").alias("t")), threshold)
 
 
 def _band(n: Column, threshold: int) -> Column:
@@ -267,16 +289,41 @@ def _band(n: Column, threshold: int) -> Column:
     return F.floor(F.log(n.cast("double")) / (math.log(100 / threshold) * 1.000001)).cast("int") if threshold < 100 else n.cast("int")
 
 
-def _across(own: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of different components. The smaller set of a pair needs few of its postings only, as the other's size is no less than its own."""
-    cut = own.withColumn("n", _n("s"))
-    large = cut.select("token", _band(F.col("n"), threshold).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "s", "component", "n")])
-    needed = _position("s") <= F.col("n") - _need(F.col("n"), F.col("n"), threshold) + _match("s") - 1
-    small = cut.where(needed).select("token", F.explode(F.sequence(_band(F.col("n"), threshold), _band(F.col("n"), threshold) + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "s", "component", "n")])
-    ordered = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") > F.col("doc_id_b")))
+def _sides(own: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The postings as those of a pair's larger set, and of its smaller one, which meets its own band and the next. The smaller set needs few
+    of its postings only, as the other's size is no less than its own."""
+    band = _band(_n("s"), threshold)
+    early = _position("s") <= _n("s") - _need(_n("s"), _n("s"), threshold)
+    large, small = own.withColumn("band", band), own.where(early).withColumn("band", F.explode(F.sequence(band, band + 1)))
+    return tuple(x.select("token", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "s", "component")]) for x, side in ((large, "a"), (small, "b")))
+
+
+def _pairs_left(own: DataFrame, threshold: int) -> int:
+    """A bound on the pairs that _across compares."""
+    large, small = (x.groupBy("token", "band").agg(F.count("*").alias(side)) for x, side in zip(_sides(own, threshold), "ab", strict=True))
+    return large.join(small, ["token", "band"]).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
+
+
+def _across(own: DataFrame, lists: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of different components: first those with a shingle that may be their first shared one, then, of these, those that share
+    as many as their prefixes demand."""
+    large, small = _sides(own, threshold)
+    ordered = (_n("s_a") > _n("s_b")) | ((_n("s_a") == _n("s_b")) & (F.col("doc_id_a") > F.col("doc_id_b")))
     # conditions on both sides stay in the join, so that it gives no row that they refuse
-    rows = large.join(small, ["token", "band"]).where(ordered & (F.col("component_a") != F.col("component_b")) & _may_link("s_a", "s_b", threshold))
-    return _candidates(rows, "doc_id_a", "doc_id_b", "s_a", "s_b")
+    rows = large.join(small, ["token", "band"]).where(ordered & (F.col("component_a") != F.col("component_b")) & _may_link("s_a", "s_b", threshold, F.lit(1)))
+    pairs = written(rows.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "early")
+    bits = {x: marked(pairs.select(x)) for x in "ab"}
+    of_a, of_b = (passing(lists.select("doc_id", "token", "s"), bits[x]).select(F.col("doc_id").alias(x), "token", F.col("s").alias(y)) for x, y in (("a", "s"), ("b", "t")))
+    out = written(_candidates(pairs.join(of_a, "a").join(of_b, ["b", "token"]).select("a", "b", "s", "t"), threshold), "pairs")
+    for x in bits.values():
+        x.destroy()
+    return out
+
+
+def _more(links: DataFrame, pairs: DataFrame, tried: DataFrame, docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The links with those among pairs that were not tried before, and what was tried now."""
+    fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return (links if fresh.isEmpty() else _verified(fresh, docs, k, threshold, links)), fresh
 
 
 def link_components(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
@@ -290,38 +337,29 @@ def link_components(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
     prefixes = _prefixes(docs, k, threshold, sketch).where(F.col("n") > 0).join(reps, "doc_id", "left_semi")
     postings = prefixes.select("doc_id", (F.shiftleft("n", MATCH_BITS + POSITION_BITS) + F.shiftleft("match", POSITION_BITS)).alias("s"), F.posexplode("tokens").alias("pos", "token")).select("token", "pos", "doc_id", (F.col("s") + F.col("pos")).alias("s"))
     dealt = postings.repartitionByRange("token", "pos", "doc_id").sortWithinPartitions("token", "pos", "doc_id").select("token", "doc_id", "s")
-    lists = written(dealt.mapInArrow(_lists, "token long, doc_id long, s long, centre long, centre_s long"), "postings")
+    lists = written(dealt.mapInArrow(lambda batches: _lists(batches, threshold), "token long, doc_id long, s long, centre long, centre_s long"), "postings")
     sketch.destroy()
-    bits = marked(lists.select("doc_id"))
-    sets = written(_sets(docs, k, bits), "sets")
-    bits.destroy()
 
     tried = written(_stars(lists, threshold), "pairs")
-    links = _verified(tried, sets, threshold)
-    own, before = lists.select("token", "doc_id", "s"), None
-    for turn in range(1, MAX_STARS + 2):
-        labels = components(links)
+    links = _verified(tried, docs, k, threshold)
+    labels, own, before = components(links), lists, math.inf
+    for turn in range(MAX_STARS + 1):
         own = own.select("token", "doc_id", "s").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("centre"), F.col("s").alias("centre_s"), F.col("component").alias("of_centre"))).alias("c")).where(F.col("lo") < F.col("hi"))
         # what can still join two components: the postings of lists that reach over both; a written table lets AQE split a long list
-        apart = written(apart.select("token", "c.centre", "c.centre_s", "c.of_centre"), "open-lists")
-        own = written(own.join(apart, "token"), "open-postings")
-        size = own.count()
-        last = turn > MAX_STARS or (before is not None and size > SHRINK * before)
-        before = size
-        if not size:
-            break
-        pair = _across(own, threshold) if last else _stars(own.where(F.col("component") != F.col("of_centre")), threshold)
-        fresh = written(pair.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            links = _verified(fresh, sets, threshold, links)
-            tried = tried.union(fresh)
-        if last:
+        apart = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi"))
+        own = written(own.join(written(apart.select("token"), "open-lists"), "token"), "open-postings")
+        left = _pairs_left(own, threshold)
+        if turn == MAX_STARS or left > SHRINK * before or left <= PAIRS * own.count():
             break
-    # a doc_id with several texts joins the classes of them all
+        # the earliest of the whole list at first, as borders of partitions cut it before
+        centre = own.groupBy("token").agg(F.min(F.struct((_position("s") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("centre"), F.col("s").alias("centre_s"), F.col("component").alias("of_centre"))).alias("c"))
+        found = own.join(written(centre.select("token", "c.centre", "c.centre_s", "c.of_centre"), "centres"), "token").where(F.col("component") != F.col("of_centre"))
+        links, fresh = _more(links, _stars(found, threshold), tried, docs, k, threshold)
+        tried, before, labels = tried.union(fresh), left, components(links)
     many = rows.where(F.col("n") > 0).groupBy("doc_id").agg(F.count("*").alias("c")).where((F.col("c") > 1) & F.col("doc_id").isNotNull())
+    # a doc_id with several texts joins the classes of them all
     joins = rows.join(many, "doc_id", "left_semi").join(classes, ["sig_a", "sig_b", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = components(links.union(joins))
+    labels = components(_more(links, _across(own, lists, threshold), tried, docs, k, threshold)[0].union(joins))
     out = rows.join(classes, ["sig_a", "sig_b", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 

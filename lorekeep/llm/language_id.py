@@ -146,28 +146,32 @@ def decide(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score, in place: no shuffle."""
+    """docs with the predicted language and its score, without a shuffle. Columns of docs that have these names are replaced."""
     names = pa.array([x for f in model.families for x in f] + ["und"])
     und = len(names) - 1
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__letters", T.BooleanType()), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    # the row as one struct: no name of its columns can clash with ours
+    others = [c for c in docs.columns if c not in (lang, score)]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").rlike(r"\p{L}").alias("letters"))
+    place = others.index("text")
+    schema = T.StructType([packed.schema["row"], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         m = shared.value
         for batch in batches:
             margins = np.zeros((batch.num_rows, m.weights.shape[1]))
-            for a, b, slot, row in _trigrams(batch.column("text")):
+            for a, b, slot, row in _trigrams(batch.column("row").field(place)):
                 n = np.bincount(row, minlength=b - a)
                 for j in range(margins.shape[1]):
                     margins[a:b, j] = np.bincount(row, m.weights[slot, j], b - a) * DIM / np.maximum(n, 1)
             best, sure = np.full(batch.num_rows, und), np.zeros(batch.num_rows)
             if und and batch.num_rows:
-                letters = np.array(batch.column("__letters").fill_null(False))
+                letters = np.array(batch.column("letters").fill_null(False))
                 best[:], sure[:] = decide(m, margins + m.bias)
                 best[~letters], sure[~letters] = und, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(best)), pa.array(sure)], names=[*batch.schema.names, lang, score])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), names.take(pa.array(best)), pa.array(sure)], names=["row", "lang", "score"])
 
-    return docs.withColumn("__letters", F.col("text").rlike(r"\p{L}")).mapInArrow(run, schema).drop("__letters")
+    return packed.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in others], F.col("lang").alias(lang), F.col("score").alias(score))
 
 
 def remainder(doc_id: Column, n: int) -> Column:

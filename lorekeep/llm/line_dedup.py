@@ -3,18 +3,19 @@ r"""Operator 1: line dedup by a range-partitioned stream of line hashes.
 A line's key is the line without [\x20\x09-\x0D] at its ends, A-Z in lower case. A key of at least min_chars code points found
 in at least min_docs documents loses its lines everywhere but in the largest doc_id that holds it.
 
-1. Every long line becomes a row of two 64-bit hashes, doc_id and position; the text stays behind.
+1. Every long line becomes a row of two 64-bit hashes, doc_id and position, written once; the text stays behind.
 2. The rows are range-partitioned by (hash, slot) and sorted by document and position inside; slot is a hash of doc_id, so a
    line that a third of all documents hold lies in many partitions. One window pass streams the first occurrence in each document.
-3. The slots' sums are added up by hash; keys with enough documents are joined back to the rows (a hot hash is split by AQE's
-   skew join, as both inputs are plain shuffles), which leaves positions to drop.
+3. The slots' sums are added up by hash; keys with enough documents are written, and joined back to the rows, which leaves positions to
+   drop. Both sides of that join are plain scans, so AQE can split a hot hash, which it could not below an aggregate.
 4. Positions become a bitmap per document: 64 lines a word, words without a dropped line left out.
 
 `keep_bitmaps` returns those bitmaps; `apply_bitmaps` gives the kept text to whoever wants it.
 
 Defined results: a null or empty text is one empty line, which no rule drops; rows with a null doc_id are no documents, so they
 neither count nor lose lines; rows that repeat a doc_id count once, and each loses its own lines; ties do not arise, as doc_ids
-of the holders of a key are compared. Other columns pass through `apply_bitmaps` untouched. DataFrame functions only.
+of the holders of a key are compared; an empty table gives an empty result; a very long text or line is one row like any other. Other columns
+pass through `apply_bitmaps` untouched, but those named n_lines, n_dropped or kept_text are replaced. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import documents, sha256_hex
+from ._shared import documents, sha256_hex, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -50,14 +51,15 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, n_dropped, keep_bitmap) of the documents that lose lines; keep_bitmap: array of (word, bits), bit i
     of word w tells whether line 64 * w + i stays, and words that are left out keep all their lines."""
-    rows = _occurrences(docs, min_chars)
+    rows = written(_occurrences(docs, min_chars), "lines")
     dealt = rows.repartitionByRange("h1", "h2", "slot")
     by_key = Window.partitionBy("h1", "h2", "slot").orderBy(F.col("doc_id").desc(), "text_hash", "pos")
     before = F.lag("doc_id").over(by_key)
     firsts = dealt.withColumn("first", F.when(before.isNull() | (before != F.col("doc_id")), 1).otherwise(0))
     slots = firsts.groupBy("h1", "h2", "slot").agg(F.sum("first").alias("n"), F.max("doc_id").alias("last_doc"))
     keys = slots.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("last_doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    drops = rows.join(keys.select("h1", "h2", "keeper"), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
+    keys = written(keys.select("h1", "h2", "keeper"), "line-keys")
+    drops = rows.join(keys, ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
     one = F.expr("shiftleft(1L, cast(pos % 64 as int))")
     words = drops.groupBy("doc_id", "text_hash", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(one).alias("gone"))
     return words.groupBy("doc_id", "text_hash").agg(
@@ -68,17 +70,19 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text; the text is untouched (and unsplit) where no bitmap exists."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.withColumn("__doc", F.col("doc_id")).withColumn("__hash", F.xxhash64(text))
-    right = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__n"), F.map_from_entries("keep_bitmap").alias("__keep"))
-    both = left.join(right.hint("shuffle_hash"), ["__doc", "__hash"], "left")
-    bits = lambda i: F.coalesce(F.element_at("__keep", F.shiftright(i, 6)), F.lit(-1).cast("long"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    # the row as one struct: no name of its columns can clash with those below
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    right = bitmaps.select("doc_id", "text_hash", "n_dropped", F.map_from_entries("keep_bitmap").alias("keep"))
+    both = left.join(right.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
+    bits = lambda i: F.coalesce(F.element_at("keep", F.shiftright(i, 6)), F.lit(-1).cast("long"))
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: F.getbit(bits(i), i % 64) == 1), "\n")
     return both.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("row")[c].alias(c) for c in others],
         F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
-        F.coalesce(F.col("__n"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("__keep").isNull(), text).otherwise(kept).alias("kept_text"),
+        F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("keep").isNull(), text).otherwise(kept).alias("kept_text"),
     )
 
 

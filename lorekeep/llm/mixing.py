@@ -7,7 +7,8 @@ form over the table of sources (one row each), by sorting them by words per weig
 Sampling: a source with target T and S words gives each of its documents T / S expected copies: the whole copies are certain,
 the rest is an inclusion probability p. Documents are ranked by Pareto's q = (u / (1 - u)) / (p / (1 - p)), u a hash of doc_id
 and the seed, and the extra copies go to the first ones, as many as bring the source's words nearest to its target. The cut is
-found from sums per source and rank bin (BINS a source), so only the documents of one bin a source are ever ordered together.
+found from sums per source and rank bin (BINS a source), and again inside the bin that it falls in, so only one in some sixteen
+million documents of a source is ever ordered together with others.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source, last in order; rows that repeat a
 doc_id are ranked side by side (ties by size, then text hash); an empty table gives an empty mix; other columns are ignored.
@@ -57,31 +58,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """(doc_id, size, source, source_size, target, copies, taken), one row per row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = written(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("__tie")), "mix-sizes")
+    # one row a source, written once, so that the plans below only read it
     goals = targets(sized, weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = goals.withColumn("__whole", F.floor(rate)).withColumn("__p", rate - F.floor(rate)).withColumn("__left", F.col("target") - F.col("__whole") * F.col("source_size"))
-    goals = goals.withColumn("__src", F.struct("source"))
-    rows = sized.withColumn("__src", F.struct("source")).drop("source").join(goals, "__src")
-    u = uniform(F.col("doc_id"), seed)
-    odds = F.col("__p") / (1 - F.col("__p"))
-    rows = rows.withColumn("__q", F.when(F.col("__p") > 0, (u / (1 - u)) / odds))
-    rows = rows.withColumn("__bin", F.least(F.floor(F.col("__q") / (1 + F.col("__q")) * BINS), F.lit(BINS - 1)).cast("int"))
-    # the bin in which a source's extra words reach what is left of its target
-    bins = rows.where(F.col("__bin").isNotNull()).groupBy("__src", "__bin").agg(F.sum("size").alias("__in_bin"), F.max("__left").alias("__left"))
-    run = Window.partitionBy("__src").orderBy("__bin")
-    bins = bins.withColumn("__upto", F.sum("__in_bin").over(run))
-    edge = bins.where(F.col("__upto") >= F.col("__left")).groupBy("__src").agg(F.min_by(F.struct(F.col("__bin").alias("bin"), (F.col("__left") - (F.col("__upto") - F.col("__in_bin"))).alias("open")), "__bin").alias("__edge"))
-    rows = rows.join(edge, "__src", "left")
-    inside = F.col("__bin") == F.col("__edge")["bin"]
+    goals = written(goals.select(F.struct("source").alias("__src"), "source_size", "target", "__whole", "__p", "__left"), "mix-goals")
+    ranked = _ranked(sized.select(F.struct("source").alias("__src"), "doc_id", "size", "__tie").join(goals, "__src"), seed)
+    edges = written(_edge(ranked, "__bin", "__left").select("__src", F.col("bin").alias("__edge"), F.col("open").alias("__open")), "mix-edges")
+    inner = ranked.join(edges, "__src").where(F.col("__bin") == F.col("__edge"))
+    fine = written(_edge(inner, "__fine", "__open").select("__src", F.col("bin").alias("__fine_edge"), F.col("open").alias("__rest")), "mix-fine-edges")
+    rows = ranked.join(edges.join(fine, "__src"), "__src", "left")
+    inside = (F.col("__bin") == F.col("__edge")) & (F.col("__fine") == F.col("__fine_edge"))
     whole, at_edge = rows.where(~F.coalesce(inside, F.lit(False))), rows.where(inside)
-    whole = whole.withColumn("__extra", F.when(F.col("__bin") < F.coalesce(F.col("__edge")["bin"], F.lit(BINS)), 1).otherwise(0))
+    before = (F.col("__bin") < F.coalesce("__edge", F.lit(BINS))) | ((F.col("__bin") == F.col("__edge")) & (F.col("__fine") < F.col("__fine_edge")))
+    whole = whole.withColumn("__extra", F.when(before, 1).otherwise(0))
     order = Window.partitionBy("__src").orderBy("__q", "doc_id", "size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     gone = F.sum("size").over(order) - F.col("size")
-    at_edge = at_edge.withColumn("__extra", F.when(gone + F.col("size") / 2 <= F.col("__edge")["open"], 1).otherwise(0))
+    at_edge = at_edge.withColumn("__extra", F.when(gone + F.col("size") / 2 <= F.col("__rest"), 1).otherwise(0))
     # a prefix of the order: nothing is taken after the first document that is not
     at_edge = at_edge.withColumn("__extra", F.min("__extra").over(order))
     out = whole.unionByName(at_edge).withColumn("copies", (F.col("__whole") + F.col("__extra")).cast("long"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", F.col("__src")["source"].alias("source"), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _ranked(rows: DataFrame, seed: str) -> DataFrame:
+    """rows with Pareto's rank q, its bin, and its bin inside that bin; null where nothing but whole copies is taken."""
+    u = uniform(F.col("doc_id"), seed)
+    rows = rows.withColumn("__q", F.when(F.col("__p") > 0, (u / (1 - u)) / (F.col("__p") / (1 - F.col("__p")))))
+    at = F.col("__q") / (1 + F.col("__q")) * BINS
+    rows = rows.withColumn("__bin", F.least(F.floor(at), F.lit(BINS - 1)).cast("int"))
+    return rows.withColumn("__fine", F.least(F.floor((at - F.col("__bin")) * BINS), F.lit(BINS - 1)).cast("int"))
+
+
+def _edge(rows: DataFrame, by: str, left: str) -> DataFrame:
+    """(__src, bin, open): the bin in which a source's words reach what is left of its target, and what is left when it begins."""
+    bins = rows.where(F.col(by).isNotNull()).groupBy("__src", by).agg(F.sum("size").alias("in_bin"), F.max(left).alias("left"))
+    bins = bins.withColumn("upto", F.sum("in_bin").over(Window.partitionBy("__src").orderBy(by)))
+    first = F.min_by(F.struct(F.col(by).alias("bin"), (F.col("left") - (F.col("upto") - F.col("in_bin"))).alias("open")), by)
+    return bins.where(F.col("upto") >= F.col("left")).groupBy("__src").agg(first.alias("edge")).select("__src", "edge.bin", "edge.open")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,13 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").withColumn("component", F.lit(1))
+    return spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(1) for c in ("component", "n_dropped", "n_lines", "kept_text", "lang_pred", "score", "row", "letters", "__keep", "__letters", "size", "h1")})
+
+
+def test_mixing_takes_odd_rows(spark, docs):
+    odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    assert cp.mixing_stage(spark, docs.unionByName(odd), SF).count() == docs.count() + 5
+    assert cp.mixing_stage(spark, docs.limit(0), SF).count() == 0
 
 
 @pytest.mark.parametrize("name,stage", cp.STAGES[:-1])

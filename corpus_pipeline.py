@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of docs, except the last, which returns the mix.
 `run` writes each stage's result as Parquet in the shared folder and reads it again as the next one's docs.
 
-Rows with a null doc_id pass every stage but language ID by their own text: they are no document to compare with.
+Defined results, each stage on its own input: rows with a null doc_id pass every stage but language ID by their own text, as they are no
+document to compare with; null and empty texts are rejected by language ID and pass the others; rows that repeat a doc_id share the fate
+of that document, and each loses its own lines; of documents that tie in a group of near-duplicates the smallest id stays; very long texts
+are taken whole; an empty table gives an empty one; other columns, whatever their names, go along unchanged up to the last stage.
 """
 
 from __future__ import annotations
@@ -20,19 +23,30 @@ NEAR_WORDS, NEAR_THRESHOLD = 5, 80
 MIN_LANGUAGE_SCORE = 0.3
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row: columns of docs cannot clash with those that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    return df.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognised language."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    named = language_id.predict(docs, model, "__lang", "__score")
-    return named.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = language_id.predict(_packed(docs), model)
+    return _unpacked(named.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that many documents share; n_chars follows the text."""
-    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs.select("doc_id", "text")))
+    cut = line_dedup.apply_bitmaps(_packed(docs), line_dedup.keep_bitmaps(docs.select("doc_id", "text")))
     changed = F.col("n_dropped") > 0
-    out = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return cut.select(*[(F.col(f"`{c}`") if out.get(c) is None else out[c].alias(c)) for c in docs.columns])
+    out = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return _unpacked(cut, docs, **out)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,10 +188,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, others:
     return written(found if others is None else found.union(others), "verified")
 
 
+def _unpacked(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size of the set, matches, position) of packed postings."""
+    return s >> (MATCH_BITS + POSITION_BITS), (s >> POSITION_BITS) & ((1 << MATCH_BITS) - 1), s & ((1 << POSITION_BITS) - 1)
+
+
 def _partners(group: np.ndarray, size: np.ndarray, s: np.ndarray, threshold: int) -> np.ndarray:
     """Which postings may link with another of their list (see _may_link), or stand in a list too long to look at here."""
     out = size[group] > SMALL_LIST
-    n, most, at = s >> (MATCH_BITS + POSITION_BITS), (s >> POSITION_BITS) & ((1 << MATCH_BITS) - 1), s & ((1 << POSITION_BITS) - 1)
+    n, most, at = _unpacked(s)
     for d in range(1, SMALL_LIST):
         x, y = slice(None, -d), slice(d, None)
         least = np.minimum(most[x], most[y]) - 1 - -(-(n[x] + n[y]) * threshold // (100 + threshold))
@@ -312,12 +317,29 @@ def _across(own: DataFrame, lists: DataFrame, threshold: int) -> DataFrame:
     # conditions on both sides stay in the join, so that it gives no row that they refuse
     rows = large.join(small, ["token", "band"]).where(ordered & (F.col("component_a") != F.col("component_b")) & _may_link("s_a", "s_b", threshold, F.lit(1)))
     pairs = written(rows.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "early")
-    bits = {x: marked(pairs.select(x)) for x in "ab"}
-    of_a, of_b = (passing(lists.select("doc_id", "token", "s"), bits[x]).select(F.col("doc_id").alias(x), "token", F.col("s").alias(y)) for x, y in (("a", "s"), ("b", "t")))
-    out = written(_candidates(pairs.join(of_a, "a").join(of_b, ["b", "token"]).select("a", "b", "s", "t"), threshold), "pairs")
-    for x in bits.values():
-        x.destroy()
-    return out
+    bits = marked(pairs.select(F.explode(F.array("a", "b"))))
+    own = written(passing(lists.select("doc_id", "token", "s"), bits).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", "s"))).alias("list")), "prefixes")
+    bits.destroy()
+    of_a, of_b = (own.select(F.col("doc_id").alias(x), F.col("list").alias(f"of_{x}")) for x in "ab")
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b").mapInArrow(lambda batches: _enough(batches, threshold), "a long, b long")
+
+
+def _enough(batches, threshold: int):
+    """(a, b, of_a, of_b): the pairs of which early shingles are shared in the number demanded, as in _candidates."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+            (one, s), (two, t) = ((np.array(z.values.field("token")), np.array(z.values.field("s"))) for z in (x, y))
+            low, high = np.searchsorted(one, two, "left"), np.searchsorted(one, two, "right")
+            times = high - low
+            at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            s, t = s[at], np.repeat(t, times)
+            (n_a, most_a, at_a), (n_b, most_b, at_b) = (_unpacked(z) for z in (s, t))
+            most = np.minimum(most_a, most_b)
+            last_a, last_b = (n - 1 - -(-(n_a + n_b) * threshold // (100 + threshold)) for n in (n_a, n_b))
+            early = (at_a <= last_a + most) & (at_b <= last_b + most)
+            keep.append(bool(early.any() and early.sum() >= most[early].min() and ((at_a <= last_a + 1) & (at_b <= last_b + 1)).any()))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _more(links: DataFrame, pairs: DataFrame, tried: DataFrame, docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:

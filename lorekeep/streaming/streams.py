@@ -41,9 +41,10 @@ def time_clusters(events: DataFrame, gap: str = "6 hours", late: str = "1 hour")
     return events.withWatermark("ts", late).groupBy("memory_space_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("memory_space_id", F.col("w.start").alias("started"), "n")
 
 
-def round_cuts(units: DataFrame, rounds: int = 10, force: int = 20, threshold: float = 0.55, idle_ms: int = 30 * 60 * 1000) -> DataFrame:
+def round_cuts(units: DataFrame, rounds: int = 10, force: int = 20, threshold: float = 0.55, idle_ms: int = 30 * 60 * 1000, late: str = "10 minutes") -> DataFrame:
     """Cuts sessions as units arrive (session_id, unit, embedding, ts), by the rule of the batch form. The state is one open window of at
-    most `force` units; an idle session closes its window by timeout."""
+    most `force` units; a session closes its window when the watermark passes its last unit by the idle time. Times are event times, so a
+    run over a finished input ends by itself."""
     import numpy as np
     import pandas as pd
 
@@ -63,22 +64,23 @@ def round_cuts(units: DataFrame, rounds: int = 10, force: int = 20, threshold: f
                 close("idle")
             state.remove()
         else:
-            for pdf in batches:
-                for unit, e in pdf.sort_values("unit")[["unit", "embedding"]].itertuples(index=False):
-                    v = np.asarray(e, float)
-                    v = v / (np.linalg.norm(v) or 1.0)
-                    if len(opened) >= rounds and max(float(v @ x) for x in vectors) < threshold:
-                        close("topic_changed")
-                    opened.append(int(unit))
-                    vectors.append(v)
-                    if len(opened) >= force:
-                        close("forced")
+            pdf = pd.concat(list(batches)).sort_values("unit")  # what a trigger brings of one session, whatever its chunks
+            for unit, e in pdf[["unit", "embedding"]].itertuples(index=False):
+                v = np.asarray(e, float)
+                v = v / (np.linalg.norm(v) or 1.0)
+                if len(opened) >= rounds and max(float(v @ x) for x in vectors) < threshold:
+                    close("topic_changed")
+                opened.append(int(unit))
+                vectors.append(v)
+                if len(opened) >= force:
+                    close("forced")
             state.update((opened, [v.tolist() for v in vectors]))
-            state.setTimeoutDuration(idle_ms)
+            last = int(pd.to_datetime(pdf["ts"]).max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return units.groupBy("session_id").applyInPandasWithState(step, "session_id string, first_unit long, last_unit long, reason string", "units array<long>, vectors array<array<double>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return units.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(step, "session_id string, first_unit long, last_unit long, reason string", "units array<long>, vectors array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_projection(events: DataFrame, path: str, checkpoint: str):

@@ -34,8 +34,9 @@ def test_projection_survives_a_restart(spark, tmp_path):
 
 def test_round_cuts_keep_state(spark, tmp_path):
     a, b = [1.0, 0.0], [0.0, 1.0]
-    schema = "session_id string, unit long, embedding array<double>"
-    df = stream(spark, tmp_path, [[("s", 0, a), ("s", 1, a)], [("s", 2, b), ("s", 3, b)]], schema)
+    schema = "session_id string, unit long, embedding array<double>, ts timestamp"
+    t = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i) for i in range(4)]
+    df = stream(spark, tmp_path, [[("s", 0, a, t[0]), ("s", 1, a, t[1])], [("s", 2, b, t[2]), ("s", 3, b, t[3])]], schema)
     q = streams.round_cuts(df, 2, 5, 0.5).writeStream.outputMode("append").format("memory").queryName("cuts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("select first_unit, last_unit, reason from cuts where reason = 'topic_changed'").collect()] == [(0, 1, "topic_changed")]

@@ -82,8 +82,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector divided by its norm, in doubles; a zero vector stays."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    # bound as a lambda's argument, the norm is computed once a vector, not once an element
+    divided = F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+    return divided[0]
 
 
 def fit_content(text: Column, budget: int, mark: str = "\n…\n") -> Column:
@@ -175,18 +176,31 @@ def memory_space(session_id: Column, persona: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(session_id, F.lit("")), F.coalesce(persona, F.lit(""))), 256)
 
 
-#: Canonical platform names and their other spellings.
-PLATFORMS = {"discord": ["discordbot"], "lark": ["feishu"], "qq": ["aiocqhttp", "onebot", "qqofficial"], "slack": [], "telegram": ["tg"], "wecom": ["wxwork"], "weixin": ["wechat"]}
+#: Canonical platform names and their spellings.
+PLATFORMS = {
+    "qq": ["qq", "aiocqhttp", "onebot", "onebot11", "qq_official", "qq_official_webhook"],
+    "telegram": ["telegram", "telegram_bot", "telegrambot"],
+    "discord": ["discord", "discord_bot", "discordbot"],
+    "wechat": ["wechat", "weixin", "wechatpadpro"],
+    "wecom": ["wecom", "wechat_work", "wechatwork"],
+    "feishu": ["feishu", "lark"],
+    "dingtalk": ["dingtalk", "ding_talk"],
+    "slack": ["slack"],
+}
 
 
 def canonical_platform(name: Column) -> Column:
-    """Lower case, letters and digits only; then the longest known spelling that begins or ends it."""
-    token = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
-    spelled = sorted(((s, k) for k, v in PLATFORMS.items() for s in [k, *v]), key=lambda x: (-len(x[0]), x[0]))
-    out = token
-    for spelling, known in reversed(spelled):
-        out = F.when(token.startswith(spelling) | token.endswith(spelling), F.lit(known)).otherwise(out)
-    return out
+    """Lower case, anything else than letters and digits as one underscore; then the platform of that spelling, or of the longest spelling
+    that it begins or ends with, parted by an underscore. Other names stay."""
+    token = F.btrim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "_"), F.lit("_"))
+    spelled = [(s, k) for k, v in PLATFORMS.items() for s in v]
+    longest = sorted(spelled, key=lambda x: len(x[0]), reverse=True)
+    out = F.when(token == "", "")
+    for spelling, known in spelled:
+        out = out.when(token == spelling, known)
+    for spelling, known in longest:
+        out = out.when(token.startswith(spelling + "_") | token.endswith("_" + spelling), known)
+    return out.otherwise(token)
 
 
 def csv_safe(text: Column) -> Column:

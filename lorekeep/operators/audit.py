@@ -10,24 +10,32 @@ from .retrieval import vector_top_k
 
 #: Patterns of secrets and personal paths, by rule.
 SECRETS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assigned_secret": r"(?i)(api[_-]?key|secret|token|password)\s*[=:]\s*[\"'][A-Za-z0-9_\-]{12,}[\"']",
+    "private key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "provider token": r"\bsk-[A-Za-z0-9_-]{20,}\b",
+    "GitHub token": r"\bgh[pousr]_[A-Za-z0-9_]{20,}\b",
+    "bearer credential": r"(?i)\bBearer\s+[A-Za-z0-9._~-]{20,}",
+    "assigned credential": r"(?i)\b(?:api[_-]?(?:key|token)|auth[_-]?token|password)\b\s*[:=]\s*[\"']([^\"'\s]{12,})[\"']",
+    "credential in URL": r"https?://[^\s/:@]+:[^\s/@]+@[^\s/]+",
+    "Windows user path": r"[A-Za-z]:\\Users\\(?![<{$%])[^\\\s]+",
+    "home directory path": r"/home/(?![<{$%])[^/\s]+",
+    "mounted user path": r"/mnt/[a-z]/(?![<{$%])[^/\s]+",
+}
+#: Our own further rules, for personal data in a corpus.
+PERSONAL = {
     "aws_key": r"AKIA[0-9A-Z]{16}",
-    "bearer": r"(?i)bearer\s+[A-Za-z0-9._\-]{20,}",
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+\.[A-Za-z]{2,}",
     "phone": r"\+[0-9]{1,3} \(?[0-9]{3}\)? [0-9]{3}-[0-9]{4}",
-    "home_path": r"(/home/|/Users/)[A-Za-z0-9._\-]+",
-    "windows_path": r"[A-Z]:\\Users\\[A-Za-z0-9._\-]+",
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
 }
 
 
-def scan_text(docs: DataFrame, denied: list[str] | None = None) -> DataFrame:
-    """(doc_id, line, rule) for every line that a rule matches."""
-    rules = [(k, F.col("text").rlike(v)) for k, v in SECRETS.items()] + [(f"denied:{x}", F.col("text").contains(x)) for x in denied or []]
+def scan_text(docs: DataFrame, denied: list[str] | None = None, rules: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, line, rule) for every line that a rule matches; a line with any of the denied words has the rule "local denylist" once."""
+    hits = [F.when(F.col("text").rlike(v), k) for k, v in (SECRETS if rules is None else rules).items()]
+    for x in [F.array_max(F.array(*[F.col("text").contains(d) for d in denied]))] if denied else []:
+        hits.append(F.when(x, "local denylist"))
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text"))
-    hits = F.array_compact(F.array(*[F.when(hit, k) for k, hit in rules]))
-    return lines.select("doc_id", (F.col("line") + 1).alias("line"), F.explode(hits).alias("rule"))
+    return lines.select("doc_id", (F.col("line") + 1).alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("rule"))
 
 
 def record_issues(records: DataFrame) -> DataFrame:

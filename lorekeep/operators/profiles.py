@@ -138,28 +138,53 @@ def meaningful_timelines(facts: DataFrame, least: int = 2) -> DataFrame:
     return hit.groupBy("timeline").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence")).where(F.col("n") >= least)
 
 
-#: Cue words of emotions, with valence, arousal and dominance.
-CUES = {"joy": (["happy", "glad", "开心"], (0.8, 0.6, 0.6)), "sadness": (["sad", "sorry", "难过"], (-0.7, -0.3, -0.4)), "anger": (["angry", "annoyed", "生气"], (-0.6, 0.7, 0.4)), "fear": (["afraid", "worried", "担心"], (-0.6, 0.5, -0.6))}
+#: Emotions with their cue words and their valence, arousal and dominance.
+AFFECTS = {
+    "joy": (["开心", "高兴", "快乐", "兴奋", "愉快", "happy", "joy"], (0.88, 0.67, 0.72)),
+    "sadness": (["难过", "伤心", "悲伤", "低落", "想哭", "sad", "upset"], (0.16, 0.36, 0.28)),
+    "anger": (["生气", "愤怒", "恼火", "火大", "angry", "mad"], (0.12, 0.82, 0.76)),
+    "fear": (["害怕", "恐惧", "紧张", "不安", "fear", "afraid", "scared"], (0.10, 0.84, 0.18)),
+    "surprise": (["惊讶", "意外", "震惊", "surprised", "shocked"], (0.60, 0.82, 0.48)),
+    "disgust": (["恶心", "厌恶", "反感", "disgust"], (0.10, 0.62, 0.62)),
+    "trust": (["信任", "放心", "可靠", "trust"], (0.76, 0.34, 0.67)),
+    "anticipation": (["期待", "盼望", "憧憬", "anticipat", "look forward"], (0.66, 0.61, 0.58)),
+    "affection": (["喜欢", "爱", "在乎", "亲近", "依恋", "affection", "love"], (0.86, 0.46, 0.62)),
+    "relief": (["松了口气", "安心", "释然", "如释重负", "relief"], (0.78, 0.24, 0.62)),
+    "frustration": (["烦", "烦躁", "挫败", "无奈", "崩溃", "frustrat"], (0.18, 0.74, 0.38)),
+    "concern": (["担心", "忧虑", "操心", "关心", "concern", "worry"], (0.30, 0.62, 0.32)),
+    "loneliness": (["孤独", "孤单", "寂寞", "lonely"], (0.18, 0.30, 0.22)),
+    "gratitude": (["感谢", "感激", "谢谢", "gratitude", "grateful"], (0.88, 0.45, 0.66)),
+    "shame": (["羞耻", "丢脸", "羞愧", "shame"], (0.13, 0.54, 0.15)),
+    "guilt": (["内疚", "愧疚", "自责", "guilt", "guilty"], (0.18, 0.49, 0.20)),
+}
+#: Fixed value: words that ask about feelings without naming one.
+AFFECT_INTENT = r"情绪|感受|心情|态度|感情|关系|当时.{0,4}(?:怎么|怎样|如何)|feel(?:ing)?|emotion|mood|relationship"
 
 
 def query_affect(text: Column) -> Column:
-    """Struct (categories: map of emotion to score, valence, arousal, dominance, explicit) from cue words; the score of an emotion is its
-    share of the cues found."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    counts = {k: sum((t.contains(w).cast("int") for w in words), F.lit(0)) for k, (words, _) in CUES.items()}
-    total = sum(counts.values(), F.lit(0))
-    mean = lambda i: F.when(total > 0, sum((n * CUES[k][1][i] for k, n in counts.items()), F.lit(0.0)) / total).otherwise(F.lit(0.0))
-    categories = F.map_filter(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.when(total > 0, n / total).otherwise(F.lit(0.0)))]), lambda _, v: v > 0)
-    return F.struct(categories.alias("categories"), mean(0).alias("valence"), mean(1).alias("arousal"), mean(2).alias("dominance"), (total > 0).alias("explicit"))
-
-
-def affect_similarity(a: Column, b: Column) -> Column:
-    """0.65 cosine of the categories + 0.35 closeness of valence, arousal and dominance."""
+    """Struct (needs_affect, explicit, confidence, categories, valence, arousal, dominance) from cue words. An emotion with n cues has the score
+    least(1, 0.72 + 0.12 n); the dimensions are means weighted by the scores, 0.5 without a cue; categories maps the four best to their scores."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    hits = {k: sum((t.contains(w).cast("int") for w in words), F.lit(0)) for k, (words, _) in AFFECTS.items()}
+    score = {k: F.when(n > 0, F.least(F.lit(1.0), 0.72 + 0.12 * n)).otherwise(F.lit(0.0)) for k, n in hits.items()}
+    total = sum(score.values(), F.lit(0.0))
+    explicit = total > 0
+    mean = lambda i: F.when(explicit, sum((s * AFFECTS[k][1][i] for k, s in score.items()), F.lit(0.0)) / total).otherwise(F.lit(0.5))
+    # best first, of equal ones the first in the table
+    ranked = F.sort_array(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(k).alias("label")) for i, (k, s) in enumerate(score.items())]), asc=False)
+    best = F.filter(F.slice(ranked, 1, 4), lambda x: x["score"] > 0)
+    categories = F.map_from_entries(F.transform(best, lambda x: F.struct(x["label"], x["score"])))
+    return F.struct((explicit | t.rlike(f"(?i){AFFECT_INTENT}")).alias("needs_affect"), explicit.alias("explicit"), F.greatest(*score.values()).alias("confidence"), categories.alias("categories"), mean(0).alias("valence"), mean(1).alias("arousal"), mean(2).alias("dominance"))
+
+
+def affect_similarity(query: Column, event: Column) -> Column:
+    """0.65 cosine of the categories + 0.35 closeness of valence, arousal and dominance, times the event's confidence; 0 without a cue."""
     part = lambda x, k: F.coalesce(F.element_at(x["categories"], F.lit(k)), F.lit(0.0))
-    dot = sum((part(a, k) * part(b, k) for k in CUES), F.lit(0.0))
-    norm = F.sqrt(sum((part(a, k) * part(a, k) for k in CUES), F.lit(0.0))) * F.sqrt(sum((part(b, k) * part(b, k) for k in CUES), F.lit(0.0)))
-    far = F.sqrt(sum(((a[x] - b[x]) * (a[x] - b[x]) for x in ("valence", "arousal", "dominance")), F.lit(0.0)))
-    return 0.65 * F.when(norm > 0, dot / norm).otherwise(F.lit(0.0)) + 0.35 * F.greatest(F.lit(0.0), 1 - far / (2 * 3**0.5))
+    dot = sum((part(query, k) * part(event, k) for k in AFFECTS), F.lit(0.0))
+    norm = F.sqrt(sum((part(query, k) * part(query, k) for k in AFFECTS), F.lit(0.0))) * F.sqrt(sum((part(event, k) * part(event, k) for k in AFFECTS), F.lit(0.0)))
+    far = F.sqrt(sum(((query[x] - event[x]) * (query[x] - event[x]) for x in ("valence", "arousal", "dominance")), F.lit(0.0)))
+    near = 0.65 * F.when(norm > 0, dot / norm).otherwise(F.lit(0.0)) + 0.35 * F.greatest(F.lit(0.0), 1 - far / 3**0.5)
+    return F.when(query["explicit"], F.least(F.lit(1.0), near * event["confidence"])).otherwise(F.lit(0.0))
 
 
 def affect_profile(events: DataFrame, most: int = 3) -> DataFrame:

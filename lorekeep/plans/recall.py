@@ -85,8 +85,8 @@ fu as (select query_id, doc_id, round(sum(1 / (60.0::double + rank)), 12) as sco
 fk as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fu qualify rank <= 20)"""
 
 WEIGHED = f""",
-w as (select fk.query_id, fk.doc_id, fk.score as rrf_score, 0.5 * fk.score / max(fk.score) over (partition by fk.query_id) + 0.25 * least(1, greatest(0, importance))
-  + 0.25 * exp(-0.01 * greatest(0, ({NOW} - greatest(create_epoch, last_access_epoch)) / 86400)) as final_score from fk join fx_memories using (doc_id))"""
+w as (select fk.query_id, fk.doc_id, fk.score as rrf_score, 0.5 * fk.score / max(fk.score) over (partition by fk.query_id) + 0.25 * least(1, greatest(0, coalesce(importance, 0.5)))
+  + 0.25 * exp(-0.01 * greatest(0, ({NOW} - greatest(coalesce(create_epoch, {NOW}), coalesce(last_access_epoch, 0))) / 86400)) as final_score from fk left join fx_memories using (doc_id))"""
 
 
 @query(_bm25_ctes() + " select query_id, doc_id, rank, round(case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 1 end, 6) as score from k window w as (partition by query_id)")
@@ -278,13 +278,20 @@ def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("request_id", "node", F.round("score", 6).alias("score"))
 
 
-@query(with_views("fx_queries") + f""", k as (select query_id, lower(query_text) as t from fx_queries),
-n as (select query_id, {', '.join('(' + ' + '.join(f"(case when contains(t, '{w}') then 1 else 0 end)" for w in words) + f') as {k}' for k, (words, _) in profiles.CUES.items())} from k),
-s as (select *, {' + '.join(profiles.CUES)} as total from n)
-select query_id, total > 0 as explicit, {', '.join(f"round(case when total > 0 then ({' + '.join(f'{k} * ({v[i]})' for k, (_, v) in profiles.CUES.items())})::double / total else 0 end, 6) as {name}" for i, name in enumerate(('valence', 'arousal', 'dominance')))} from s""")
+#: Texts that hold two cues each, so that every cue comes up.
+CUE_WORDS = [w for words, _ in profiles.AFFECTS.values() for w in words]
+_SCORES = {k: f"(case when {' + '.join(f'cast(contains(t, {w!r}) as int)' for w in words)} > 0 then least(1, 0.72 + 0.12 * ({' + '.join(f'cast(contains(t, {w!r}) as int)' for w in words)})) else 0 end)" for k, (words, _) in profiles.AFFECTS.items()}
+
+
+@query(f"""with k as (select c_custkey as query_id, lower(c_name || ' ' || {CUE_WORDS!r}[c_custkey % {len(CUE_WORDS)} + 1] || case when c_custkey % 3 = 0 then ', ' || {CUE_WORDS!r}[c_custkey * 7 % {len(CUE_WORDS)} + 1] else '' end) as t from customer),
+n as (select query_id, {', '.join(f'{v}::double as {k}' for k, v in _SCORES.items())} from k), s as (select *, {' + '.join(profiles.AFFECTS)} as total from n)
+select query_id, total > 0 as explicit, round(greatest({', '.join(profiles.AFFECTS)}), 6) as confidence, {', '.join(f"round(case when total > 0 then ({' + '.join(f'{k} * {v[i]}' for k, (_, v) in profiles.AFFECTS.items())}) / total else 0.5 end, 6) as {name}" for i, name in enumerate(('valence', 'arousal', 'dominance')))} from s""")
 def query_affect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = view(spark, sf_dir, "fx_queries").select("query_id", profiles.query_affect(F.col("query_text")).alias("a"))
-    return a.select("query_id", "a.explicit", *[F.round(f"a.{x}", 6).alias(x) for x in ("valence", "arousal", "dominance")])
+    word = lambda i: F.get(F.array(*map(F.lit, CUE_WORDS)), (i % len(CUE_WORDS)).cast("int"))
+    key = F.col("c_custkey")
+    text = F.concat("c_name", F.lit(" "), word(key), F.when(key % 3 == 0, F.concat(F.lit(", "), word(key * 7))).otherwise(""))
+    a = table(spark, sf_dir, "customer").select(key.alias("query_id"), text.alias("text")).select("query_id", profiles.query_affect(F.col("text")).alias("a"))
+    return a.select("query_id", "a.explicit", *[F.round(f"a.{x}", 6).alias(x) for x in ("confidence", "valence", "arousal", "dominance")])
 
 
 @query("""with e as (select l_orderkey % 100 as topic_id, l_suppkey as actor, l_returnflag as category, max(least(1, l_discount * 10) * (1 - l_tax) * (l_quantity / 50.0)) as support from lineitem group by all),

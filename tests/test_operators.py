@@ -40,7 +40,8 @@ def test_spans(spark):
 
 def test_platforms(spark):
     assert one(spark, c.canonical_platform(F.col("t")), t="AioCQHTTP-2") == "qq"
-    assert one(spark, c.canonical_platform(F.col("t")), t="WeChat") == "weixin"
+    assert one(spark, c.canonical_platform(F.col("t")), t="WeChat") == "wechat"
+    assert [one(spark, c.canonical_platform(F.col("t")), t=x) for x in ("Lark", "ding_talk", "my-wechat work", "other", "")] == ["feishu", "dingtalk", "wecom", "other", ""]
     assert one(spark, c.csv_safe(F.col("t")), t="=1+1") == "'=1+1"
 
 

@@ -162,7 +162,9 @@ def message_slice(messages: DataFrame, offset: int, limit: int) -> DataFrame:
 def search_messages(messages: DataFrame, keyword: str, per_session: int) -> DataFrame:
     """Newest hits of each session; only ASCII letters match regardless of case."""
     down = Window.partitionBy("session_id").orderBy(F.col("ts_epoch").desc(), F.col("id").desc())
-    hits = messages.where(F.lower("content").contains(keyword.lower()))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fold = str.maketrans(upper, upper.lower())
+    hits = messages.where(F.translate("content", upper, upper.lower()).contains(keyword.translate(fold)))
     return hits.withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= per_session)
 
 
@@ -266,5 +268,5 @@ def list_memories(memories: DataFrame, sort: Column, limit: int, offset: int = 0
 def event_anchor(df: DataFrame) -> DataFrame:
     """Adds anchor_s and basis: source window, else the fact's times, else creation."""
     pairs = [("window_start", "source_window"), ("temporal_start", "temporal"), ("create_epoch", "create_time")]
-    anchor = F.coalesce(*[F.struct(F.col(x).cast("double").alias("s"), F.lit(b).alias("b")) if False else F.when(F.col(x) > 0, F.struct(F.col(x).cast("double").alias("s"), F.lit(b).alias("b"))) for x, b in pairs])
+    anchor = F.coalesce(*[F.when(F.col(x) > 0, F.struct(F.col(x).cast("double").alias("s"), F.lit(b).alias("b"))) for x, b in pairs])
     return df.withColumn("__a", anchor).withColumn("anchor_s", F.col("__a.s")).withColumn("basis", F.col("__a.b")).withColumn("fallback", F.col("basis") == "create_time").drop("__a")

@@ -171,16 +171,8 @@ def time_clusters(spark, sf_dir):
     return sessions.time_clusters(_span_seconds(spark, sf_dir)).select("memory_id", "cluster")
 
 
-@query(with_views("fx_spans") + SPAN_S + ", r as (select memory_id as range_id, start_s - 300 as lo, start_s + 300 as hi from s where memory_id % 100 = 0) select memory_id as item_id, range_id from s join r on start_s <= hi and end_s >= lo")
-def range_overlap(spark, sf_dir):
-    s = _span_seconds(spark, sf_dir)
-    ranges = s.where("memory_id % 100 = 0").select(F.col("memory_id").alias("range_id"), (F.col("start_s") - 300).alias("lo"), (F.col("start_s") + 300).alias("hi"))
-    return sessions.range_overlap_join(s.select(F.col("memory_id").alias("item_id"), F.col("start_s").alias("s"), F.col("end_s").alias("e")), ranges).select("item_id", "range_id")
-
-
 @query(with_views("fx_spans") + SPAN_S + ", r as (select memory_id as range_id, start_s - 300 as lo, start_s + 300 as hi from s) select memory_id as item_id, range_id from s join r on start_s <= hi and end_s >= lo")
-def range_overlap_whole(spark, sf_dir):
-    """range_overlap with every row as a range."""
+def range_overlap(spark, sf_dir):
     s = _span_seconds(spark, sf_dir)
     ranges = s.select(F.col("memory_id").alias("range_id"), (F.col("start_s") - 300).alias("lo"), (F.col("start_s") + 300).alias("hi"))
     return sessions.range_overlap_join(s.select(F.col("memory_id").alias("item_id"), F.col("start_s").alias("s"), F.col("end_s").alias("e")), ranges).select("item_id", "range_id")
@@ -202,7 +194,7 @@ h as (select id, person_id, 0 as o from m join p on m.u = lower(p.user_id) and l
 select id, person_id from h qualify row_number() over (partition by id order by o, person_id) = 1""")
 def known_person(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("person_id"), F.when(F.col("c_custkey") % 2 == 0, "QQ").alias("platform"), F.concat(F.lit("U"), "c_custkey").alias("user_id"))
-    m = _messages(spark, sf_dir).withColumn("platform", F.when(F.col("id") % 3 == 0, "aiocqhttp").otherwise("tg"))
+    m = _messages(spark, sf_dir).withColumn("platform", F.when(F.col("id") % 3 == 0, "aiocqhttp").otherwise("telegram_bot"))
     return sessions.known_person(m, people)
 
 
@@ -229,30 +221,48 @@ def import_duplicates(spark, sf_dir):
     return tables.import_duplicates(m.where("doc_id % 4 <> 0"), m.where("doc_id % 4 = 0")).select("doc_id")
 
 
-@query(L + f", t as (select unnest({tokens_sql('text')}) as term from fx_memories) select term, count(*) as n from t group by 1 having count(*) >= 20")
+@query(L + f", t as (select unnest({tokens_sql('text')}) as term from fx_memories) select term, count(*) as n from t group by 1")
 def word_counts(spark, sf_dir):
-    return view(spark, sf_dir, "fx_memories").select(F.explode(c.tokenize(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 20")
+    return view(spark, sf_dir, "fx_memories").select(F.explode(c.tokenize(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _scan_sql(rules: dict[str, str]) -> str:
+    """The rules line by line; DuckDB's expressions have no look-ahead, so the character behind it is said outright."""
+    plain = lambda p: p.replace(r"(?![<{$%])[^\\\s]+", r"[^<{$%\\\s][^\\\s]*").replace(r"(?![<{$%])[^/\s]+", r"[^<{$%/\s][^/\s]*").replace("'", "''")
+    lines = "with l as (select doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as line, unnest(string_split(coalesce(text, ''), chr(10))) as t from documents) "
+    return lines + "select * from (" + " union all ".join(f"select doc_id, line, '{k}' as rule from l where regexp_matches(t, '{plain(v)}')" for k, v in rules.items()) + ")"
 
 
-@query("with l as (select doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as line, unnest(string_split(coalesce(text, ''), chr(10))) as t from documents) select * from (" + " union all ".join(f"select doc_id, line, '{k}' as rule from l where regexp_matches(t, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in audit.SECRETS.items()) + ")")
+@query(_scan_sql(audit.SECRETS))
 def secret_scan(spark, sf_dir):
     return audit.scan_text(table(spark, sf_dir, "documents"))
 
 
-@query(L + """, f as (select doc_id, list_slice(string_split(coalesce(text, ''), chr(10)), 1, 5) as facts, length(trim(coalesce(text, ''))) as n, importance * 1.2 as importance from fx_memories),
+@query(_scan_sql(audit.PERSONAL))
+def personal_scan(spark, sf_dir):
+    return audit.scan_text(table(spark, sf_dir, "documents"), rules=audit.PERSONAL)
+
+
+QUALITY = L + """, f as (select doc_id, string_split(coalesce(text, ''), chr(10)) as facts, length(trim(coalesce(text, ''))) as n, importance * 1.2 as importance from fx_memories),
 i as (select doc_id, unnest(list_filter([case when n = 0 then 'missing_summary' end, case when n between 1 and 9 then 'short_summary' end, case when importance < 0 or importance > 1 then 'importance_domain' end,
- case when len(list_filter(facts, lambda x: trim(x) = '')) > 0 then 'empty_fact' end, case when len(list_distinct(facts)) < len(facts) then 'duplicate_fact' end], lambda x: x is not null)) as code from f)
-select doc_id, code, case when code in ('short_summary', 'duplicate_fact') then 'warning' else 'error' end as severity from i""")
+ case when len(list_filter(facts, lambda x: trim(x) = '')) > 0 then 'empty_fact' end, case when len(list_distinct(facts)) < len(facts) then 'duplicate_fact' end], lambda x: x is not null)) as code from f),
+s as (select doc_id, code, case when code in ('short_summary', 'duplicate_fact') then 'warning' else 'error' end as severity from i)"""
+
+
+def _quality_records(spark, sf_dir):
+    return view(spark, sf_dir, "fx_memories").withColumn("key_facts", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("importance", F.col("importance") * 1.2)
+
+
+@query(QUALITY + " select * from s")
 def record_quality(spark, sf_dir):
-    m = view(spark, sf_dir, "fx_memories").withColumn("key_facts", F.slice(F.split(F.coalesce("text", F.lit("")), "\n", -1), 1, 5)).withColumn("importance", F.col("importance") * 1.2)
-    return audit.record_issues(m)
+    return audit.record_issues(_quality_records(spark, sf_dir))
 
 
-@query()
-def record_quality_whole(spark, sf_dir):
-    """record_quality over every line, not the first five."""
-    m = view(spark, sf_dir, "fx_memories").withColumn("key_facts", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("importance", F.col("importance") * 1.2)
-    return audit.record_issues(m)
+@query(QUALITY + """, w as (select doc_id, count(*) filter (severity = 'error') as errors, count(*) as n from s group by 1)
+select doc_id, case when errors > 0 then 'reject' when n > 0 then 'review' else 'accept' end as verdict from fx_memories left join w using (doc_id)""")
+def record_verdicts(spark, sf_dir):
+    m = _quality_records(spark, sf_dir)
+    return audit.verdicts(m, audit.record_issues(m))
 
 
 @query("""select case when vec_id % 7 = 0 then 'missing' when vec_id % 5 = 0 then 'provider_changed' when vec_id % 11 = 0 then 'dimension_changed' end as reason, count(*) as n from embeddings group by 1""")

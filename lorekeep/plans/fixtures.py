@@ -19,6 +19,10 @@ VIEWS = {
     "fx_spans": "select event_id as memory_id, user_id as memory_space_id, ts as started_at, value as minutes from {events}",
     "fx_changes": "select event_id as sequence, user_id as scope, cast(user_id as string) || '-' || event_type as timeline_uid, case event_type when 'error' then 'delete' when 'signup' then 'restore' else 'upsert' end as operation, value from {events}",
     "fx_aliases": "select distinct conv_id as alias_id, conv_id - 1 as canonical_id from {conversations} where conv_id % 8 <> 0",
+    "fx_topic_rows": "select p_partkey as topic_id, 'space' || cast(p_partkey % 5 as string) as memory_space_id, p_brand as title, p_partkey % 3 as revision, case when p_partkey % 7 = 0 then 'archived' else 'active' end as status, cast(1704067200 + p_partkey * 3600 as double) as updated_at from {part}",
+    "fx_timelines": "select o_orderkey as timeline_id, 's' || cast(o_custkey as string) as session_id, 'space' || cast(o_custkey % 5 as string) as memory_space_id, case when o_orderstatus = 'P' then 'deleted' else 'active' end as status, cast(1704067200 + o_orderkey * 60 as double) as updated_at from {orders}",
+    "fx_links": "select l_partkey as topic_id, l_orderkey as timeline_id, max(l_linenumber % 3) as revision, l_orderkey % 40 as cluster_id, avg(cast(l_discount as double)) * 5 as contribution, avg(cast(l_tax as double)) * 10 as similarity, max(cast(l_quantity as double)) / 50 as affinity, max(case when l_linestatus = 'O' then 'active' else 'archived' end) as status from {lineitem} group by l_partkey, l_orderkey, l_orderkey % 40",
+    "fx_actors": "select l_partkey as topic_id, case when s_suppkey % 4 = 0 then null else cast(s_suppkey as string) end as actor_id, case when s_suppkey % 4 = 0 then case when s_suppkey % 8 = 0 then ' Nobody  Known' else 'nobody known' end else s_name end as display_name from {lineitem} join {supplier} on l_suppkey = s_suppkey",
     "fx_judgements": "select doc_id, quality as relevant, toxic as forbidden from {labels}",
 }
 

@@ -264,18 +264,9 @@ def centroids(spark, sf_dir):
     return out.select("label", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.sqrt(c.dot(F.col("centroid"), F.col("centroid"))), 5).alias("norm"))
 
 
-@query(L + f""", f as (select doc_id, persona_id as space, unnest({features_sql('substr(text, 1, 120)')}) as item from fx_memories), r as (select *, count(*) over (partition by space, item) as df from f qualify df <= 20),
-z as (select space, doc_id, count(*) as n from r group by all), p as (select a.space, a.doc_id as a, b.doc_id as b, count(*) as n from r a join r b on a.space = b.space and a.item = b.item and a.doc_id < b.doc_id group by all)
-select p.space, a, b, round(p.n::double / (x.n + y.n - p.n), 6) as jaccard from p join z x on a = x.doc_id join z y on b = y.doc_id""")
-def shared_features(spark, sf_dir):
-    f = view(spark, sf_dir, "fx_memories").select(F.col("doc_id").alias("uid"), F.col("persona_id").alias("space"), F.explode(c.retrieval_features(F.substring("text", 1, 120))).alias("item"))
-    rare = f.join(f.groupBy("space", "item").agg(F.count("*").alias("df")).where("df <= 20").drop("df"), ["space", "item"])
-    return topics.shared_items(rare, ["space"]).select("space", "a", "b", F.round("jaccard", 6).alias("jaccard"))
-
-
 @query()
-def shared_features_whole(spark, sf_dir):
-    """shared_features over whole texts and all features: exact, and of a cost that grows with the square of a language's documents."""
+def shared_features(spark, sf_dir):
+    """Whole texts and all features: exact, and of a cost that grows with the square of a language's documents."""
     f = view(spark, sf_dir, "fx_memories").select(F.col("doc_id").alias("uid"), F.col("persona_id").alias("space"), F.explode(c.retrieval_features(F.col("text"))).alias("item"))
     return topics.shared_items(f, ["space"]).select("space", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 

@@ -25,7 +25,7 @@ def test_shared_features_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     sets = [set(x.split()) for x in texts]
     want = {(i, j): round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6) for i in range(25) for j in range(i + 1, 25)}
-    assert {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["shared_features_whole"](spark, str(tmp_path)).collect()} == want
+    assert {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["shared_features"](spark, str(tmp_path)).collect()} == want
 
 
 def test_claims_against_all_pairs(spark):
@@ -61,7 +61,7 @@ def test_bound_facts_hold_every_line(spark, sf):
 
 
 def test_record_quality_sees_every_line(spark, sf):
-    got = {(r["doc_id"], r["code"]) for r in registry.QUERIES["record_quality_whole"](spark, sf).collect()}
+    got = {(r["doc_id"], r["code"]) for r in registry.QUERIES["record_quality"](spark, sf).collect()}
     assert {(2, "empty_fact"), (0, "duplicate_fact")} <= got and (1, "empty_fact") not in got
 
 
@@ -80,5 +80,5 @@ def test_every_row_is_a_range(spark):
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     con.execute(f"create view events as select * from '{sf}/events.parquet'")
-    got = sorted((r["item_id"], r["range_id"]) for r in registry.QUERIES["range_overlap_whole"](spark, sf).collect())
-    assert got == sorted(con.execute(registry.SQL["range_overlap_whole"]).fetchall()) and {r for _, r in got} == set(range(min(r for _, r in got), max(r for _, r in got) + 1))
+    got = sorted((r["item_id"], r["range_id"]) for r in registry.QUERIES["range_overlap"](spark, sf).collect())
+    assert got == sorted(con.execute(registry.SQL["range_overlap"]).fetchall()) and {r for _, r in got} == set(range(min(r for _, r in got), max(r for _, r in got) + 1))

@@ -75,10 +75,10 @@ def topic_importance(spark, sf_dir):
 @query(FACTS + """, s as (select topic_id, source % 7 as cluster, importance as base, importance * 0.8 as effective, confidence as weight from f),
 z as (select *, case when max(weight) over (partition by topic_id) <= 0 then 1.0 / count(*) over (partition by topic_id) else weight end as w from s),
 p as (select topic_id, cluster, sum(base * w) / sum(w) as b, sum(effective * w) / sum(w) as e, max(w) as cw from z where w > 0 group by all)
-select topic_id, round(sum(b * cw) / sum(cw), 5) as source_base, round(greatest(0.05, least(1, sum(e / greatest(0.01, b) * cw) / sum(cw))), 5) as dynamic_factor from p group by 1""")
+select topic_id, round(sum(b * cw) / sum(cw), 9) as source_base, round(greatest(0.05, least(1, sum(e / greatest(0.01, b) * cw) / sum(cw))), 9) as dynamic_factor from p group by 1""")
 def source_importance(spark, sf_dir):
     s = _facts(spark, sf_dir).select("topic_id", (F.col("source") % 7).alias("cluster"), F.col("importance").alias("base"), (F.col("importance") * 0.8).alias("effective"), F.col("confidence").alias("weight"))
-    return lifecycle.source_importance(s).select("topic_id", F.round("source_base", 5).alias("source_base"), F.round("dynamic_factor", 5).alias("dynamic_factor"))
+    return lifecycle.source_importance(s).select("topic_id", F.round("source_base", 9).alias("source_base"), F.round("dynamic_factor", 9).alias("dynamic_factor"))
 
 
 @query(FACTS + """, g as (select topic_id, fragment_id as fact_id, max(importance) as mass, list_distinct(list(source)) as sources from f group by all), x as (select topic_id, unnest(sources) as timeline, mass / len(sources) as each from g),

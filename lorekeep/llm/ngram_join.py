@@ -48,9 +48,9 @@ SKETCH_LOG = 22
 SKETCH = 1 << SKETCH_LOG
 BLOCKS = 64
 MAX_MATCH = 4
-#: More stars are tried while the pairs of open lists are more than so many a posting, and shrink to this share or less, for so many rounds at
-#: most; what they leave is tried in full.
-PAIRS, SHRINK, MAX_STARS = 50, 0.8, 8
+#: After a first round of stars over whole lists, more are tried while the pairs of open lists are more than so many a posting, and shrink to this
+#: share or less, for so many rounds at most; what they leave is tried in full.
+PAIRS, SHRINK, MAX_STARS = 10, 0.8, 8
 #: In lists of at most so many postings, those that can link with no other are dropped at once.
 SMALL_LIST = 4
 #: Bits of a posting's packed word below the set's size: number of matches, then position.
@@ -371,7 +371,7 @@ def link_components(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
         apart = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi"))
         own = written(own.join(written(apart.select("token"), "open-lists"), "token"), "open-postings")
         left = _pairs_left(own, threshold)
-        if turn == MAX_STARS or left > SHRINK * before or left <= PAIRS * own.count():
+        if turn == MAX_STARS or not left or (turn > 0 and (left > SHRINK * before or left <= PAIRS * own.count())):
             break
         # the earliest of the whole list at first, as borders of partitions cut it before
         centre = own.groupBy("token").agg(F.min(F.struct((_position("s") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("centre"), F.col("s").alias("centre_s"), F.col("component").alias("of_centre"))).alias("c"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import op6_decontaminate
+from .fill_middle import OP11_SQL, op11_fill_in_middle
 from .language_id import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP2_SQL, op2_mix_sources
@@ -11,6 +12,7 @@ from .ngram_join import op10_ngram_join
 from .quality_model import op8_quality_rules_model
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .repeats import op7_repeats
+from .token_files import op13_token_files
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality_rules_model": op8_quality_rules_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_token_files": op13_token_files,
 }
 
 SQL = {
@@ -32,4 +36,5 @@ SQL = {
     "op4_chat_format": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }

@@ -15,7 +15,7 @@ import gc
 import json
 import os
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -236,3 +236,15 @@ def for_worker(key: tuple, make: Callable[[], Stretches]) -> Stretches:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def text_parts(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in parts of at most `limit` bytes of text, or one longer row."""
+    start, seen = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column("text")).fill_null(0).to_pylist()):
+        if k > start and seen + n > limit:
+            yield batch.slice(start, k - start)
+            start, seen = k, 0
+        seen += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_align_tokenizers
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import op6_decontaminate
 from .fill_middle import OP11_SQL, op11_fill_in_middle
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_align_tokenizers": op12_align_tokenizers,
     "op13_token_files": op13_token_files,
 }
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fill_middle, token_files
+from lorekeep.llm import alignment, fill_middle, token_files
 from lorekeep.llm.encoding import BYTE_BPE, PIECE_BPE, ByteBpe, PieceBpe, Stretches
 
 SF = "/root/testdata/sf0.001"
@@ -151,3 +151,79 @@ def test_repair_shortens_and_refuses_cut_blocks():
     assert len(data) < len(ids) / 2
     with pytest.raises(ValueError):
         token_files.Block(data[:-1])
+
+
+def ends(ids, tokenizer):
+    return np.cumsum([len(tokenizer.bytes_of[i]) for i in ids])
+
+
+def brute_alignment(texts):
+    """Per text: n_a, n_b, groups, links; all pairs of tokens compared, texts encoded whole."""
+    a_of, b_of = ENCODERS[True].tokenizers
+    out = []
+    for t in texts:
+        full = " " + (t or "")
+        a, b = a_of.library.encode(full, add_special_tokens=False).ids, b_of.library.encode(t or "")
+        if not t or any(b"".join(x.bytes_of[i] for i in ids) != full.encode() for x, ids in ((a_of, a), (b_of, b))):
+            out.append((0, 0, "", []))
+            continue
+        ea, eb = ends(a, a_of).tolist(), ends(b, b_of).tolist()
+        sa, sb = [0, *ea[:-1]], [0, *eb[:-1]]
+        links = [(a[i], b[j]) for i in range(len(a)) for j in range(len(b)) if sa[i] < eb[j] and sb[j] < ea[i]]
+        groups, i, j = [], 0, 0
+        for e in sorted(set(ea) & set(eb)):
+            k, m = ea.index(e) + 1, eb.index(e) + 1
+            groups.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            i, j = k, m
+        out.append((len(a), len(b), ";".join(groups), links))
+    return out
+
+
+def check_alignment(df, texts):
+    aligned = brute_alignment([t for _, t in texts])
+    counts = {}
+    for *_, links in aligned:
+        for pair in set(links):
+            counts[pair] = counts.get(pair, 0) + 1
+    top = {}
+    for (a, _), n in counts.items():
+        top[a] = max(top.get(a, 0), n)
+    want = []
+    for (doc_id, _), (n_a, n_b, groups, links) in zip(texts, aligned):
+        digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
+        want.append((str(doc_id), n_a, n_b, groups.count("|"), len(links), sum(counts[p] == top[p[0]] for p in links), sum(counts[p] for p in links), digest))
+    for broadcast_pairs in (1 << 22, 0):
+        for work in (1 << 15, 3):
+            got = alignment.align_tokenizers(df, work=work, broadcast_pairs=broadcast_pairs).collect()
+            assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == sorted(want), (broadcast_pairs, work)
+
+
+def test_alignment_odd_rows(spark, odd):
+    short = odd.where("doc_id is null or doc_id <> 11")
+    check_alignment(short, [(d, t) for d, t, *_ in ODD if d != 11])
+    assert alignment.align_tokenizers(odd.limit(0)).count() == 0
+
+
+def test_alignment_documents(spark, docs):
+    rows = docs.where(F.length("text") < 3000).orderBy("doc_id").limit(60)
+    check_alignment(rows, [(r["doc_id"], r["text"]) for r in rows.collect()])
+
+
+def test_very_long_text_aligns_in_pieces(spark):
+    df = spark.createDataFrame([(1, "unbelievable tokenization, naïvely\n" * 12_000)], "doc_id long, text string")
+    one, many = (alignment.align_tokenizers(df, work=w).collect() for w in (1 << 30, 1 << 12))
+    assert one == many and one[0]["n_links"] > 100_000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=40), st.lists(st.integers(1, 5), min_size=1, max_size=40), st.integers(1, 9))
+def test_pieces_equal_one_merge(a, b, work):
+    a, b = np.cumsum(a), np.cumsum(b)
+    total = max(a[-1], b[-1])
+    a, b = (x if x[-1] == total else np.append(x, total) for x in (a, b))
+    got = [x.tolist() for x in alignment.align(a, b, work)]
+    union = sorted({*a.tolist(), *b.tolist()})
+    common = sorted({*a.tolist()} & {*b.tolist()})
+    assert got == [[int((a < e).sum()) for e in union], [int((b < e).sum()) for e in union], [sum(c < e for c in common) for e in union]]
+    i, j = alignment.diagonals(a, b, work)
+    assert all(abs(d) <= work + 1 for d in np.diff(i + j))

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where Spark is one process may it be unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if "path" not in _LOCAL:
+        _LOCAL["path"] = f"file://{tempfile.mkdtemp(prefix='spark-lorekeep-')}"
+    return _LOCAL["path"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of spark.checkpoint.dir, which executors share; one of our own only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-lorekeep-')}")
-    return df.checkpoint()
+    """Cuts lineage: the rows are written to the shared folder and read back. A plain scan has its files' size as its estimate; a table kept by
+    DataFrame.checkpoint keeps the plan's, which joins multiply, so that in rounds it grows until the planner drowns in it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, created: str | None = None) -> DataFrame:

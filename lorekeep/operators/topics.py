@@ -40,19 +40,31 @@ def candidate_similarity(features: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(uid, root): the least uid that edges (a, b) reach. Least labels with pointer jumping; each round is checkpointed, so a lost
-    executor costs a read and not the rounds before."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(nodes.select("uid", F.col("uid").alias("root")).distinct())
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("uid").alias("b"), "root"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "uid", "left").select("uid", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("low"))
-        up = labels.select(F.col("uid").alias("low"), F.col("root").alias("up"))
-        new = checkpointed(low.join(up, "low", "left").select("uid", "old", F.least("low", F.coalesce("up", "low")).alias("root")))
-        labels = new.select("uid", "root")
-        if new.where(F.col("old") != F.col("root")).isEmpty():
-            return labels
-    raise RuntimeError(f"connected: {max_rounds} rounds do not suffice")
+    """(uid, root): the least uid that edges (a, b) reach.
+
+    The graph is contracted: in each round every node goes to the least of its neighbours and itself, in an order hashed anew, and on to where
+    that one goes; edges between what is left carry over. A constant share of the nodes goes each round, whatever the shape, and finished
+    components drop out. Rounds are written, and the maps are put together from the smallest up, so all nodes are joined once."""
+    graph = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    maps: list[DataFrame] = []
+    while not graph.isEmpty():
+        if len(maps) == max_rounds:
+            raise RuntimeError(f"connected: {max_rounds} rounds do not suffice")
+        order = lambda x, k=len(maps): F.struct(F.xxhash64(F.lit(k), x).alias("h"), F.col(x).alias("n"))
+        both = graph.union(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = checkpointed(both.groupBy("a").agg(F.min(order("b")).alias("low")).select(F.col("a").alias("u"), F.least("low", order("a"))["n"].alias("to")))
+        step = checkpointed(first.join(first.select(F.col("u").alias("to"), F.col("to").alias("root")), "to").select("u", "root"))
+        maps.append(step)
+        ends = graph.join(step.select(F.col("u").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("u").alias("b"), F.col("root").alias("rb")), "b")
+        graph = checkpointed(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    uids = nodes.select("uid").distinct()
+    if not maps:
+        return uids.select("uid", F.col("uid").alias("root"))
+    whole = maps[-1]
+    for step in reversed(maps[:-1]):
+        whole = step.withColumnRenamed("root", "mid").join(whole.select(F.col("u").alias("mid"), "root"), "mid", "left").select("u", F.coalesce("root", "mid").alias("root"))
+    named = checkpointed(uids.join(whole.withColumnRenamed("u", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("rep")))
+    return named.join(named.groupBy("rep").agg(F.min("uid").alias("root")), "rep").select("uid", "root")
 
 
 def candidate_groups(scores: DataFrame, clusters: DataFrame, threshold: float = 0.52) -> DataFrame:

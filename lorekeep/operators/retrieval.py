@@ -6,10 +6,13 @@ Spark applies before and after the shuffle. Ties are always broken by id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from .tables import checkpointed
 
 
 def top_k(df: DataFrame, k: int, by: list[str] | None = None, score: str = "score", ids: tuple[str, ...] = ("doc_id",), rank: str = "rank") -> DataFrame:
@@ -22,21 +25,35 @@ def widened(k: int, factor: int = 2, most: int = 100) -> int:
     return min(most, k * factor)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, scope: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
+#: Rows up to which a table of query terms or of query vectors is sent to every executor; counted first, with another way beyond.
+SENT_TERMS = 200_000
+SENT_NUMBERS = 4_000_000
+
+
+def in_scope(scope: tuple[str, ...], queries: str = "__q_") -> Column:
+    """A query meets the rows of its scope; a null scope of a query meets all. Query columns carry the prefix."""
+    return reduce(lambda x, y: x & y, [F.col(queries + x).isNull() | (F.col(queries + x) == F.col(x)) for x in scope], F.lit(True))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, scope: tuple[str, ...] = (), normalise: bool = True, sent_terms: int = SENT_TERMS) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents for any token of a query.
 
-    docs: doc_id, tokens and the scope columns; queries: query_id, tokens and the scope columns. Scopes are join keys, so they hold before
-    the cut. Postings are pre-aggregated per document; only postings of query terms are joined, and the query terms come
-    to the scan as a semi-join, so the corpus is not shuffled by term beyond them."""
-    postings = docs.select("doc_id", *scope, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("doc_id", *scope, "length", "term").agg(F.count("*").alias("tf"))
-    terms = queries.select("query_id", *scope, F.explode(F.array_distinct("tokens")).alias("term"))
-    hits = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_length"))
+    docs: doc_id, tokens and the scope columns; queries: query_id, tokens and the scope columns, null for no restriction. Scopes hold before
+    the cut. Tokens are made once and written; totals, document frequencies and scores read that table. The query terms are counted: up to
+    `sent_terms` they are sent to the scan, and no posting moves by its term, so a frequent word is no hot key; beyond, postings
+    are shuffled by term, which Spark splits where a term is hot. Frequencies and totals are those of all documents, whatever the scope."""
+    index = checkpointed(docs.select("doc_id", *scope, F.size("tokens").cast("long").alias("length"), "tokens"))
+    terms = checkpointed(queries.select("query_id", *[F.col(x).alias("__q_" + x) for x in scope], F.explode(F.array_distinct("tokens")).alias("term")))
+    totals = index.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
+    n_docs, average = F.lit(totals["n"]), F.lit(float(totals["avg"] or 1.0))
+    wanted = terms.select("term").distinct()
+    send = F.broadcast if terms.limit(sent_terms + 1).count() <= sent_terms else (lambda x: x)
+    rows = index.select("doc_id", *scope, "length", F.explode("tokens").alias("term")).join(send(wanted), "term", "left_semi")
+    hits = checkpointed(rows.groupBy("doc_id", *scope, "length", "term").agg(F.count("*").alias("tf")))
     df_terms = hits.groupBy("term").agg(F.count("*").alias("df"))
-    # totals has one row
-    scored = hits.join(df_terms, "term").join(terms, ["term", *scope]).crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    weighed = terms.join(df_terms, "term").withColumn("idf", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    scored = hits.join(send(weighed), "term").where(in_scope(scope))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
     best = top_k(scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")), k)
     return min_max(best) if normalise else best
 
@@ -48,14 +65,48 @@ def min_max(df: DataFrame, score: str = "score") -> DataFrame:
     return df.withColumn(score, F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(F.lit(1.0)))
 
 
-def vector_top_k(items: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """(query_id, doc_id, score, rank) by cosine, exact. items: doc_id, embedding; queries: query_id, embedding.
+def vector_top_k(items: DataFrame, queries: DataFrame, k: int, blocks: int = 8, scope: tuple[str, ...] = (), sent_numbers: int = SENT_NUMBERS) -> DataFrame:
+    """(query_id, doc_id, score, rank) by cosine, exact. items: doc_id, embedding and the scope columns; queries: query_id, embedding and the scope
+    columns, null for no restriction, which holds before the cut.
+
+    Queries are counted. Up to `sent_numbers` vector components they are sent to every executor as one matrix: items stream by, a batch
+    is one matrix product, and a batch passes on its k best a query with all ties. Beyond, queries are dealt to blocks, and every item meets
+    every block through an equi-join on the block number."""
+    wide = queries.select("query_id", *[F.col(x).alias("__q_" + x) for x in scope], c.unit(F.col("embedding")).alias("__q"))
+    size = wide.agg(F.count("*").alias("n"), F.sum(F.size("__q")).alias("numbers")).first()
+    if size["numbers"] and size["numbers"] <= sent_numbers and wide.schema["query_id"].dataType.simpleString() in ("bigint", "int", "string"):
+        return top_k(_streamed_best(items, wide, k, scope), k)
+    q = wide.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    i = items.select("doc_id", *scope, c.unit(F.col("embedding")).alias("__i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
+    return top_k(i.join(q, "__block").where(in_scope(scope)).select("query_id", "doc_id", F.round(c.dot(F.col("__i"), F.col("__q")), 9).alias("score")), k)
+
+
+def _streamed_best(items: DataFrame, wide: DataFrame, k: int, scope: tuple[str, ...]) -> DataFrame:
+    import numpy as np
+
+    sent = wide.toPandas()
+    shared = items.sparkSession.sparkContext.broadcast((sent["query_id"].to_numpy(), np.array(sent["__q"].tolist(), float), [sent["__q_" + x].to_numpy() for x in scope]))
+    kind = {x: wide.schema["query_id"].dataType.simpleString() if x == "query_id" else items.schema["doc_id"].dataType.simpleString() for x in ("query_id", "doc_id")}
+
+    def best(batches):
+        import pandas as pd
+
+        ids, q, scopes = shared.value
+        for pdf in batches:
+            pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf["embedding"]]]
+            if pdf.empty:
+                continue
+            x = np.array(pdf["embedding"].tolist(), float)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            scores = np.round(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0) @ q.T, 9)
+            for own, name in zip(scopes, scope):
+                free = np.array([v is None or v != v for v in own])
+                scores[~((pdf[name].to_numpy()[:, None] == own[None, :]) | free[None, :])] = -np.inf
+            floor = np.partition(scores, -min(k, len(scores)), axis=0)[-min(k, len(scores))]
+            row, col = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
+            yield pd.DataFrame({"query_id": ids[col], "doc_id": pdf["doc_id"].to_numpy()[row], "score": scores[row, col]})
 
-    Queries are dealt to blocks, and every item meets every block through an equi-join on the block number: a stated query set
-    against all rows. Each task keeps its k best a query before the shuffle."""
-    q = queries.select("query_id", c.unit(F.col("embedding")).alias("__q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("__block"))
-    i = items.select("doc_id", c.unit(F.col("embedding")).alias("__i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
-    return top_k(i.join(q, "__block").select("query_id", "doc_id", F.round(c.dot(F.col("__i"), F.col("__q")), 9).alias("score")), k)
+    return items.select("doc_id", *scope, "embedding").mapInPandas(best, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, score double")
 
 
 def reciprocal_rank_fusion(routes: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -77,12 +128,13 @@ def weighted(fused: DataFrame, memories: DataFrame, now: float, alpha: float = 0
     return joined.select("query_id", "doc_id", F.col("score").alias("rrf_score"), final.alias("final_score"))
 
 
-def mmr(candidates: DataFrame, k: int, diversity: float = 0.3, keep_short: bool = True, most: int = 100) -> DataFrame:
+def mmr(candidates: DataFrame, k: int, diversity: float = 0.3, keep_short: bool = True) -> DataFrame:
     """Greedy diverse choice: each round takes the best (1 - diversity) * score - diversity * (largest Jaccard with a chosen one).
 
-    candidates: query_id, doc_id, score, features (array). Groups are bounded: only the `most` best of a query come in. With keep_short, a
-    query of at most k candidates is returned in score order. Returns query_id, doc_id, score, position."""
-    bounded = top_k(candidates, most, rank="__rank")
+    candidates: query_id, doc_id, score, features (array); all come in, so a group is what the routes before have cut to. With keep_short, a
+    query of at most k candidates is returned in score order. Returns query_id, doc_id, score, position. Values are compared at nine digits."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    ranked = candidates.withColumn("__rank", F.row_number().over(order))
 
     def choose(pdf):
         pdf = pdf.sort_values(["__rank"]).reset_index(drop=True)
@@ -93,7 +145,7 @@ def mmr(candidates: DataFrame, k: int, diversity: float = 0.3, keep_short: bool
         else:
             near = [0.0] * len(pdf)
             while left and len(order) < k:
-                best = max(left, key=lambda i: ((1 - diversity) * scores[i] - diversity * near[i], -i))
+                best = max(left, key=lambda i: (round((1 - diversity) * scores[i] - diversity * near[i], 9), -i))
                 order.append(best)
                 left.remove(best)
                 for i in left:
@@ -103,7 +155,7 @@ def mmr(candidates: DataFrame, k: int, diversity: float = 0.3, keep_short: bool
         out["position"] = range(1, len(order) + 1)
         return out
 
-    return bounded.groupBy("query_id").applyInPandas(choose, "query_id long, doc_id long, score double, position int")
+    return ranked.groupBy("query_id").applyInPandas(choose, "query_id long, doc_id long, score double, position int")
 
 
 def hybrid(keyword: DataFrame, vector: DataFrame | None, memories: DataFrame, k: int, now: float) -> DataFrame:

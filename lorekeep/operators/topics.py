@@ -246,20 +246,6 @@ def orphan_swaps(chosen: DataFrame, eligible: DataFrame, nodes: DataFrame, degre
     return swapped.unionByName(marked.join(swapping, "root", "left_anti").select("a", "b", "score"))
 
 
-def relation_candidates(rankings: DataFrame, keywords: DataFrame, k: int, floor: float) -> DataFrame:
-    """Pairs in each other's k nearest at the floor, with the kind of evidence: very close; close and shared rare keywords; mutual best; or
-    similarity alone. keywords: space, uid, item."""
-    near = rankings.where((F.col("rank") <= k) & (F.col("cosine") >= floor))
-    there = near.where(F.col("uid") < F.col("other")).select("space", F.col("uid").alias("a"), F.col("other").alias("b"), "cosine", F.col("rank").alias("ra"), F.col("margin").alias("ma"))
-    back = near.where(F.col("uid") > F.col("other")).select(F.col("other").alias("a"), F.col("uid").alias("b"), F.col("rank").alias("rb"), F.col("margin").alias("mb"))
-    df = keywords.groupBy("space", "item").agg(F.count("*").alias("df"))
-    rare = keywords.join(df.where(F.col("df") <= 5), ["space", "item"]).select("space", "uid", "item")
-    shared = shared_items(rare, ["space"]).select("a", "b", F.col("jaccard").alias("keyword_jaccard"))
-    out = there.join(back, ["a", "b"]).join(shared, ["a", "b"], "left").withColumn("keyword_jaccard", F.coalesce("keyword_jaccard", F.lit(0.0)))
-    kind = F.when(F.col("cosine") >= 0.85, "semantic_strong").when((F.col("keyword_jaccard") > 0) & (F.col("cosine") >= 0.6), "semantic_and_keywords").when((F.col("ra") == 1) & (F.col("rb") == 1), "mutual_best").otherwise("semantic")
-    return out.withColumn("evidence_kind", kind).withColumn("score", F.round(0.7 * F.col("cosine") + 0.2 * F.col("keyword_jaccard") + 0.1 * (1 / F.col("ra") + 1 / F.col("rb")) / 2, 9))
-
-
 def match_existing(components: DataFrame, topics: DataFrame, shared_sources: DataFrame, create: float = 0.62, review: float = 0.70, update: float = 0.78, margin: float = 0.05, blocks: int = 4) -> DataFrame:
     """Decides for each new component (space, uid, embedding) whether it updates a topic (space, topic_uid, embedding), is new, or needs
     review: by similarity, the lead over the runner-up, and the share of sources it has in common (uid, topic_uid, share)."""

@@ -239,15 +239,6 @@ def topic_clusters(spark, sf_dir):
     return topics.clusters_of_all(scores, topics.seed_edges(scores, strong=0.4, mutual=0.3), items.select("uid"), 0.25, 0.3)
 
 
-@query()
-def topic_relations(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    ranked = topics.margins(topics.neighbour_rankings(pairs, 5), 0.2)
-    words = _items(spark, sf_dir).select("space", "uid", F.concat(F.lit("label"), "label").alias("item"))
-    found = topics.relation_candidates(ranked, words, 5, 0.2)
-    return topics.bounded_edges(found.select("a", "b", "score"), 3)
-
-
 @query()
 def orphan_relations(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).select("a", "b", F.col("cosine").alias("score"))

@@ -246,31 +246,6 @@ def orphan_swaps(chosen: DataFrame, eligible: DataFrame, nodes: DataFrame, degre
     return swapped.unionByName(marked.join(swapping, "root", "left_anti").select("a", "b", "score"))
 
 
-def match_existing(components: DataFrame, topics: DataFrame, shared_sources: DataFrame, create: float = 0.62, review: float = 0.70, update: float = 0.78, margin: float = 0.05, blocks: int = 4) -> DataFrame:
-    """Decides for each new component (space, uid, embedding) whether it updates a topic (space, topic_uid, embedding), is new, or needs
-    review: by similarity, the lead over the runner-up, and the share of sources it has in common (uid, topic_uid, share)."""
-    q = components.select("space", "uid", c.unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"))
-    t = topics.select("space", "topic_uid", c.unit(F.col("embedding")).alias("t"), F.pmod(F.xxhash64("topic_uid"), F.lit(blocks)).alias("blk"))
-    scored = q.join(t, ["space", "blk"]).select("space", "uid", "topic_uid", F.round(c.dot(F.col("q"), F.col("t")), 9).alias("cosine"))
-    scored = scored.join(shared_sources, ["uid", "topic_uid"], "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("cosine") + 0.15 * F.coalesce("share", F.lit(0.0))), 9))
-    best = top_k(scored, 2, by=["uid"], ids=("topic_uid",))
-    w = Window.partitionBy("uid").orderBy("rank")
-    best = best.withColumn("lead", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).where(F.col("rank") == 1)
-    decision = F.when(F.coalesce("share", F.lit(0.0)) >= 0.5, "update").when(F.col("score") < create, "create").when((F.col("score") >= update) & (F.col("lead") >= margin), "update").when(F.col("score") >= review, "review").otherwise("create")
-    return best.withColumn("decision", decision).select("space", "uid", "topic_uid", "score", "lead", "decision")
-
-
-def sibling_votes(decisions: DataFrame, events: DataFrame, bonus: float = 0.10, sure: float = 0.78, low: float = 0.62) -> DataFrame:
-    """Components in the band [low, sure) take the topic that at least two sure siblings of one event (uid, event) strictly prefer."""
-    known = decisions.where(F.col("score") >= sure).join(events, "uid").groupBy("event", "topic_uid").agg(F.countDistinct("uid").alias("n"))
-    total = Window.partitionBy("event")
-    won = known.withColumn("__all", F.sum("n").over(total)).where((F.col("n") >= 2) & (F.col("n") * 2 > F.col("__all"))).select("event", F.col("topic_uid").alias("voted"))
-    unsure = decisions.where((F.col("score") >= low) & (F.col("score") < sure)).join(events, "uid").join(won, "event").groupBy("uid").agg(F.min("voted").alias("voted"))
-    out = decisions.join(unsure, "uid", "left")
-    moved = F.col("voted").isNotNull() & (F.col("score") + bonus >= sure)
-    return out.withColumn("topic_uid", F.when(moved, F.col("voted")).otherwise(F.col("topic_uid"))).withColumn("decision", F.when(moved, "update").otherwise(F.col("decision"))).drop("voted")
-
-
 def centroid(df: DataFrame, by: list[str], embedding: str = "embedding") -> DataFrame:
     """Mean vector of each group, as sums per place: nothing of a group is collected but one row per dimension."""
     each = df.select(*by, F.posexplode(embedding).alias("i", "x")).groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

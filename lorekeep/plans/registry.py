@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, facts_recall, overviews, recall, recall_ledger, relations, streams, topics_life  # noqa: F401  (importing a module registers its queries)
+from . import conversations, facts_recall, matching, overviews, recall, recall_ledger, relations, streams, topics_life  # noqa: F401  (importing a module registers its queries)
 
 QUERIES: dict = {**recall.QUERIES}
 SQL: dict[str, str] = {**recall.SQL}

@@ -2,77 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Digits, days by word, weekdays, weeks by prefix, seconds by unit.
+#: Digits, days by word, weekdays, weeks by prefix, seconds by unit, and the hours below which a part of the day means the afternoon.
 DIGITS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-DAYS = [("大后天", 3), ("前天", -2), ("昨天", -1), ("今天", 0), ("明天", 1), ("后天", 2)]
+DAYS = {"大后天": 3, "前天": -2, "昨天": -1, "今天": 0, "明天": 1, "后天": 2}
 WEEKDAYS = {"一": 0, "二": 1, "三": 2, "四": 3, "五": 4, "六": 5, "日": 6, "天": 6}
-WEEKS = {"上周": -7, "上": -7, "本周": 0, "本": 0, "下周": 7, "下": 7, "下下周": 14, "下下": 14}
+WEEKS = {"上周": -7, "本周": 0, "下周": 7, "下下周": 14}
 UNITS = {"分钟": 60, "小时": 3600, "天": 86400, "周": 604800, "个月": 30 * 86400, "年": 365 * 86400}
+SIDES = {"前": -1, "后": 1}
+AFTERNOON_BELOW = {"下午": 12, "晚上": 12, "中午": 11}
+#: The forms of dates, spans, weekdays and clock times that count.
+DATE = r"(20[0-9]{2})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})"
+SPAN = r"([一二两三四五六七八九十0-9]+)\s*(分钟|小时|天|周|个月|年)(前|后)"
+WEEKDAY = r"(上周|本周|下周|下下周)?周([一二三四五六日天])"
+MONTH_DAY = r"([0-9]{1,2})月([0-9]{1,2})[日号]"
+CLOCK = r"(?:(上午|早上|中午|下午|晚上|凌晨)\s*)?([一二两三四五六七八九十0-9]+)\s*[:：点时]\s*([一二两三四五六七八九十0-9]+)?"
+#: Weekdays as people mean them: one 周 is enough behind a prefix.
+PLAIN_WEEKDAY = r"(上|本|下下|下)?周?周([一二三四五六日天])"
 
 
 def number(text: Column) -> Column:
     """Digits or a Chinese number up to 99; null for anything else."""
-    d = F.translate(text, "".join(DIGITS), "".join(str(v) for v in DIGITS.values()))
-    part = lambda count, empty: F.coalesce(F.nullif(F.substring_index(d, "十", count), F.lit("")), F.lit(empty)).try_cast("int")
-    return F.when(d.contains("十"), part(1, "1") * 10 + part(-1, "0")).otherwise(d.try_cast("int"))
+    digits = F.translate(text, "".join(DIGITS), "".join(str(v) for v in DIGITS.values()))
+    # 十 stands for a one in front, a zero behind, and for nothing between two digits
+    for pattern, to in ((r"^十", "1十"), (r"十$", "十0"), (r"^([0-9])十([0-9])$", "$1$2")):
+        digits = F.regexp_replace(digits, pattern, to)
+    return digits.try_cast("int")
 
 
-def _found(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def _of(values: dict[str, int], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
-def _lookup(values: dict[str, int], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+@dataclass(frozen=True)
+class Phrase:
+    """A way to name a day: its pattern, the seconds since 1970 on the local clock that its groups mean, and the text in which a time of day may stand."""
 
+    pattern: str
+    seconds: Callable[[Callable[[int], Column], Column], Column]
+    clock: Callable[[Column], Column]
+    final: bool = False  # a match that means no time ends the search
 
-CLOCK = r"(?:(上午|早上|中午|下午|晚上|凌晨)\s*)?([一二两三四五六七八九十0-9]+)\s*[:：点时]\s*([一二两三四五六七八九十0-9]+)?"
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.unix_timestamp(F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-M-d")))
+
+
+def phrases(natural_weeks: bool = False) -> list[Phrase]:
+    """The ways to name a day, in the order in which they are tried."""
+    behind = lambda pattern: lambda text: F.regexp_replace(text, f"^.*?{pattern}", "")
+    whole, nothing = (lambda text: text), (lambda text: F.lit(""))
+    weeks = {k[:-1]: v for k, v in WEEKS.items()} if natural_weeks else WEEKS
+    today = lambda ref: F.unix_timestamp(ref)
+    listed = lambda g: F.get(F.filter(F.array(*map(F.lit, DAYS)), lambda w: F.contains(g(0), w)), F.lit(0))  # noqa: E731  the first of the list, wherever it stands
+    return [
+        Phrase(DATE, lambda g, ref: _day(g(1), g(2), g(3)), behind(DATE), final=True),
+        Phrase(SPAN, lambda g, ref: today(ref) + number(g(1)) * _of(UNITS, g(2)) * _of(SIDES, g(3)), nothing),
+        Phrase("|".join(DAYS), lambda g, ref: today(ref) + _of(DAYS, listed(g)) * 86400, whole),
+        Phrase(PLAIN_WEEKDAY if natural_weeks else WEEKDAY, lambda g, ref: today(ref) + (_of(WEEKDAYS, g(2)) - F.weekday(ref) + F.coalesce(_of(weeks, g(1)), F.lit(0))) * 86400, whole),
+        Phrase(MONTH_DAY, lambda g, ref: _day(F.year(ref).cast("string"), g(1), g(2)), behind(MONTH_DAY), final=True),
+    ]
+
+
+def _groups(text: Column, pattern: str) -> Callable[[int], Column]:
+    return lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) if k else text
 
 
-def _at_clock(local: Column, text: Column) -> Column:
-    """The local timestamp at the time of day that the text names; unchanged without one."""
-    period, hour = _found(text, CLOCK, 1), number(_found(text, CLOCK, 2))
-    minute = F.coalesce(number(_found(text, CLOCK, 3)), F.lit(0))
-    late = F.coalesce(period.isin("下午", "晚上") & (hour < 12), F.lit(False)) | F.coalesce((period == "中午") & (hour < 11), F.lit(False))
-    hour = F.when(late, hour + 12).when(F.coalesce((period == "凌晨") & (hour == 12), F.lit(False)), 0).otherwise(hour)
-    named = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("day", local)) + hour * 3600 + minute * 60)
-    return F.when(hour.between(0, 23) & minute.between(0, 59), named).otherwise(local)
+def clock_seconds(text: Column) -> Column:
+    """Seconds of the day of the first clock time in a text; null if there is none or it is none of a day."""
+    g = _groups(text, CLOCK)
+    hour, minute = number(g(2)), F.coalesce(number(g(3)), F.lit(0))
+    hour = hour + F.when(hour < _of(AFTERNOON_BELOW, g(1)), 12).when((g(1) == "凌晨") & (hour == 12), -12).otherwise(0)
+    return F.when(hour.between(0, 23) & minute.between(0, 59), hour * 3600 + minute * 60)
 
 
-def event_time(text: Column, reference: Column, zone: str) -> Column:
+def event_time(text: Column, reference: Column, zone: str, natural_weeks: bool = False) -> Column:
     """Timestamp of the event that a text names, anchored at the reference timestamp; null if it names none.
 
-    In this order: absolute date; "n units before/after" (month 30 days, year 365); day words, the longest first; weekday with or
-    without a week prefix; month and day of the reference's year. The zone is that of the people talking. Both 下周一 and 下周周一
-    mean next week."""
+    The phrases are tried in their order; a month is 30 days, a year 365. The zone is that of the people talking. A prefix of a week counts as
+    it is written in WEEKDAY, so 下周周一 is next week and 下周一 this one; with natural_weeks both are next week."""
     t = F.coalesce(text, F.lit(""))
     there = F.from_utc_timestamp(reference, zone)
-    date = r"(20[0-9]{2})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})"
-    absolute = F.try_to_timestamp(F.concat_ws("-", *[_found(t, date, i) for i in (1, 2, 3)]), F.lit("yyyy-M-d"))
-    amount = r"([一二两三四五六七八九十0-9]+)\s*(分钟|小时|天|周|个月|年)(前|后)"
-    n = number(_found(t, amount, 1)) * _lookup(UNITS, _found(t, amount, 2)) * F.when(_found(t, amount, 3) == "前", -1).otherwise(1)
-    moved = lambda days: F.timestamp_seconds(F.unix_timestamp(there) + days * 86400)
-    by_word = F.lit(None).cast("int")
-    for word, days in reversed(DAYS):
-        by_word = F.when(t.contains(word), F.lit(days)).otherwise(by_word)
-    week = r"(下下周|下下|上周|本周|下周|上|本|下)?周([一二三四五六日天])"
-    weekday = _lookup(WEEKDAYS, _found(t, week, 2)) - F.weekday(there) + F.coalesce(_lookup(WEEKS, _found(t, week, 1)), F.lit(0))
-    month_day = r"([0-9]{1,2})月([0-9]{1,2})[日号]"
-    in_year = F.try_to_timestamp(F.concat_ws("-", F.year(there).cast("string"), _found(t, month_day, 1), _found(t, month_day, 2)), F.lit("yyyy-M-d"))
-    day = (
-        F.when(t.rlike(date), absolute)
-        .when(reference.isNull(), None)
-        .when(n.isNotNull(), F.timestamp_seconds(F.unix_timestamp(there) + n))
-        .when(by_word.isNotNull(), moved(by_word))
-        .when(weekday.isNotNull(), moved(weekday))
-        .when(t.rlike(month_day), in_year)
-    )
-    # the part of the text that may name a time of day: what follows a date, nothing beside "n units ago", all of it otherwise
-    clock = F.when(t.rlike(date), F.regexp_replace(t, f"^.*?{date}", "")).when(n.isNotNull(), "").when(by_word.isNotNull() | weekday.isNotNull(), t).otherwise(F.regexp_replace(t, f"^.*?{month_day}", ""))
-    local = _at_clock(day, clock)
-    return F.to_utc_timestamp(local, zone)
+    readings = []
+    for phrase in phrases(natural_weeks):
+        day = phrase.seconds(_groups(t, phrase.pattern), there)
+        fits = t.rlike(phrase.pattern) if phrase.final else t.rlike(phrase.pattern) & day.isNotNull()
+        readings.append(F.when(fits, F.struct(day.cast("long").alias("day"), phrase.clock(t).alias("clock"))))
+    found = F.coalesce(*readings)
+    day, at = found["day"], clock_seconds(found["clock"])
+    local = F.when(at.isNotNull(), F.floor(day / 86400).cast("long") * 86400 + at).otherwise(day)
+    return F.to_utc_timestamp(F.timestamp_seconds(local), zone)
 
 
 def fact_windows(facts: DataFrame, refs: DataFrame, messages: DataFrame) -> DataFrame:

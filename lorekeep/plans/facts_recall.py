@@ -10,12 +10,21 @@ from .fixtures import NOW, table, view, with_views
 from .recall import query
 
 
-@query("""with e as (select event_id, ts, case event_id % 4 when 0 then ts - interval 3 day when 1 then ts + interval 2 hour when 2 then ts + interval 1 day else null end as event_ts from events)
+#: Phrases of every kind, and what each means of ts in SQL.
+SAID = [
+    ("三天前", "ts - interval 3 day"), ("2小时后", "ts + interval 2 hour"), ("二十五分钟前", "ts - interval 25 minute"), ("两周后", "ts + interval 14 day"), ("一个月前", "ts - interval 30 day"), ("2年后", "ts + interval 730 day"),
+    ("明天", "ts + interval 1 day"), ("大后天", "ts + interval 3 day"), ("昨天晚上八点见面", "date_trunc('day', ts) - interval 4 hour"), ("前天凌晨12点", "date_trunc('day', ts) - interval 2 day"),
+    ("周五", "ts + to_days(cast(5 - isodow(ts) as int))"), ("上周周日下午两点半", "date_trunc('day', ts) + to_days(cast(0 - isodow(ts) as int)) + interval 14 hour"), ("下周一", "ts + to_days(cast(1 - isodow(ts) as int))"), ("下下周周三", "ts + to_days(cast(17 - isodow(ts) as int))"),
+    ("2026年7月28日下午三点十五分开会", "timestamp '2026-07-28 15:15:00'"), ("2024-03-05", "timestamp '2024-03-05 00:00:00'"), ("2024-13-40", "cast(null as timestamp)"), ("6月1日9点", "make_timestamp(year(ts), 6, 1, 9, 0, 0)"), ("nothing", "cast(null as timestamp)"),
+]
+
+
+@query(f"""with e as (select event_id, case event_id % {len(SAID)} {' '.join(f'when {k} then {sql}' for k, (_, sql) in enumerate(SAID))} end as event_ts from events)
 select event_id, cast(floor(epoch(event_ts)) as bigint) as event_s from e""")
 def event_times(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    said = F.expr("case event_id % 4 when 0 then '三天前' when 1 then '2小时后' when 2 then '明天' else 'nothing' end")
-    return e.select("event_id", F.unix_timestamp(facts.event_time(said, F.col("ts").cast("timestamp"), "UTC")).alias("event_s"))
+    said = F.get(F.array(*[F.lit(text) for text, _ in SAID]), (F.col("event_id") % len(SAID)).cast("int"))
+    return e.withColumn("said", said).select("event_id", F.unix_timestamp(facts.event_time(F.col("said"), F.col("ts").cast("timestamp"), "UTC")).alias("event_s"))
 
 
 @query(with_views("fx_messages") + """, f as (select id // 1000 as memory_id, role as fact, id, ts_epoch from fx_messages), w as (select memory_id, fact, min(case when id % 2 = 0 then ts_epoch end) as lo, max(case when id % 2 = 0 then ts_epoch end) as hi, count(*) filter (id % 2 = 0) as n_refs from f group by all)

@@ -32,7 +32,7 @@ from ._shared import documents, written
 from .encoding import BYTE_BPE, PIECE_BPE, ByteBpe, PieceBpe, Stretches, for_worker, text_parts
 
 WORK = 1 << 15
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BROADCAST_PAIRS = 1 << 22
 #: An id pair as one number: A's id above B's.
 _B_BITS = 24

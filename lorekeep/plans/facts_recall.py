@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import facts, recall, retrieval
+from ..operators.tables import checkpointed
 from .fixtures import NOW, table, view, with_views
 from .recall import query
 
@@ -47,11 +48,11 @@ def topic_recall(spark, sf_dir):
     """Topics by vector, with support from a second branch, then fragments and timelines around them."""
     items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = view(spark, sf_dir, "fx_vector_queries")
-    hits = retrieval.vector_top_k(items, queries, 30)
+    hits = checkpointed(retrieval.vector_top_k(items, queries, 30))  # read twice below
     branches = hits.select("query_id", F.col("doc_id").alias("topic_id"), F.lit("current").alias("branch"), F.lit(1.0).alias("weight"), "score").unionByName(hits.where("rank % 2 = 0").select("query_id", F.col("doc_id").alias("topic_id"), F.lit("recent_user").alias("branch"), F.lit(0.45).alias("weight"), "score"))
     supported = recall.context_support(branches).withColumn("actor_hit", F.col("topic_id") % 5 == 0).withColumn("affect", F.lit(0.0))
     known = items.select(F.col("doc_id").alias("topic_id"), (F.col("doc_id") % 10 / 10).alias("importance_now"), F.lit(0.7).alias("confidence"))
-    found = recall.topic_recall(supported, known, 5)
+    found = checkpointed(recall.topic_recall(supported, known, 5))
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     features = d.select("doc_id", c.retrieval_features(F.col("text")).alias("features"))
     asked = features.select(F.col("doc_id").alias("query_id"), F.col("features").alias("asked"))

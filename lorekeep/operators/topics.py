@@ -252,23 +252,6 @@ def centroid(df: DataFrame, by: list[str], embedding: str = "embedding") -> Data
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def snapshot(fragments: DataFrame) -> DataFrame:
-    """fragments: topic_id, fragment_id, importance, confidence, start_s, end_s, keywords, embedding. One row per topic: span, keywords,
-    size, importance, centroid."""
-    base = fragments.groupBy("topic_id").agg(F.count("*").alias("n_fragments"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.avg("confidence").alias("confidence"))
-    words = fragments.select("topic_id", F.explode("keywords").alias("w")).distinct().groupBy("topic_id").agg(F.count("*").alias("n_keywords"))
-    w = F.greatest(F.lit(0.01), F.col("confidence"))
-    imp = fragments.groupBy("topic_id").agg((0.6 * F.max("importance") + 0.4 * F.sum(F.col("importance") * w) / F.sum(w)).alias("importance"))
-    return base.join(words, "topic_id", "left").join(imp, "topic_id").join(centroid(fragments, ["topic_id"]), "topic_id")
-
-
-def regroup(fragments: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Split and merge: a mapping (fragment_id, topic_id) replaces the assignment; only the topics that it touches are recomputed."""
-    moved = fragments.join(mapping.withColumnRenamed("topic_id", "__to"), "fragment_id", "left").withColumn("__new", F.coalesce("__to", "topic_id"))
-    touched = moved.where(F.col("__to").isNotNull()).select(F.explode(F.array("topic_id", "__to")).alias("__new")).distinct()
-    return snapshot(moved.join(touched, "__new", "left_semi").drop("topic_id", "__to").withColumnRenamed("__new", "topic_id"))
-
-
 def merge_atoms(atoms: DataFrame) -> DataFrame:
     """atoms: topic_id, kind, content, importance, confidence, timeline. One row per (topic, kind, canonical content)."""
     keyed = atoms.withColumn("fingerprint", c.fingerprint(F.col("content")))

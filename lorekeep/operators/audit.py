@@ -93,7 +93,7 @@ def health(issues: DataFrame) -> DataFrame:
 
 def near_fields(left: DataFrame, right: DataFrame, ratio: float = 0.86) -> DataFrame:
     """Pairs (a, b) of one scope whose field is equal, canonically equal, or near by 1 - levenshtein / longest. Candidates for the near tier
-    share a bigram among their rarest three. left, right: scope, id, field."""
+    share a bigram, whichever, and differ little in length. left, right: scope, id, field."""
     grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: x.substr(i, F.lit(2))))
     key = lambda df, n: df.select("scope", F.col("id").alias(n), F.col("field").alias(f"f{n}"), c.canonical_text(F.col("field")).alias(f"c{n}"))
     a, b = key(left, "a"), key(right, "b")

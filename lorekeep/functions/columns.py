@@ -68,6 +68,13 @@ def stable_key(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
+def name_uuid(name: Column) -> Column:
+    """The UUID of version 5 of a name in the URL namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
+    part = lambda start, n: F.substring(h, start, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab"), part(18, 3)), part(21, 12))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """0 if either is empty."""
     return F.when((F.size(a) < 1) | (F.size(b) < 1), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))

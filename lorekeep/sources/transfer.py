@@ -1,4 +1,4 @@
-"""Reading and writing memories: typed scans, JSON and CSV imports with field aliases, portable exports."""
+"""Reading and writing memories: typed scans, imports of flat JSON and CSV records with field aliases (`shapes` has nested ones), portable exports."""
 
 from __future__ import annotations
 
@@ -11,12 +11,12 @@ from ..functions import columns as c
 MESSAGES = "id long, session_id string, role string, content string, sender_id string, sender_name string, group_id string, platform string, ts timestamp, metadata map<string,string>"
 MEMORIES = "doc_id long, memory_uid string, text string, session_id string, persona_id string, memory_space_id string, status string, importance double, base_importance double, create_ts timestamp, last_access_ts timestamp, access_count int, topics array<string>, participants array<string>, key_facts array<string>, embedding array<float>, metadata map<string,string>"
 
-#: Other names of fields, and of roles.
+#: Other names of fields, and of roles, those of `shapes` and a few more.
 ALIASES = {
-    "text": ["text", "content", "memory", "summary"], "session_id": ["session_id", "session", "conversation_id"], "persona_id": ["persona_id", "persona"],
-    "importance": ["importance", "score", "weight"], "original_id": ["original_id", "id", "doc_id"], "messages": ["messages", "source_messages", "history"],
+    "text": ["text", "content", "memory", "summary", "value"], "session_id": ["session_id", "session", "conversation_id"], "persona_id": ["persona_id", "persona"],
+    "importance": ["importance", "score", "weight"], "original_id": ["original_id", "id", "doc_id"], "messages": ["messages", "source_messages", "conversation", "dialogue", "dialog", "history"],
 }
-ROLES = {"human": "user", "me": "user", "ai": "assistant", "bot": "assistant", "model": "assistant"}
+ROLES = {"human": "user", "customer": "user", "me": "user", "ai": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:

@@ -220,7 +220,7 @@ def canonical_platform(name: Column) -> Column:
 
 def csv_safe(text: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets an apostrophe."""
-    return F.when(text.rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 STRUCTURAL_TERM = r"^(?:[0-9]+(?:[.:/-][0-9]+)*|(?:19|20)[0-9]{2}年?|[0-9]{1,2}[月日点时分])$"

@@ -84,6 +84,34 @@ def repeated_contexts(evidence: DataFrame, minutes: int = 120, min_timelines: in
     return top_k(best.select("profile", "term", "seed", "m", "n", "days", "score"), most, by=["profile"], ids=("term",)).drop("score")
 
 
+def context_candidates(evidence: DataFrame, clusters: DataFrame, minutes: int = 120, min_timelines: int = 3, min_days: float = 2.0, most_common: float = 0.9, most: int = 4) -> DataFrame:
+    """(profile, term, refs, n, days): per profile the `most` best sets of evidence that share a term and a time of day. evidence: profile, ref, timeline, term (distinct for a
+    ref), minute (null: unknown), at_s; clusters: profile, cluster, ref.
+
+    Every piece of evidence with a known minute is a seed, with the nearest piece of each timeline within `minutes` (then the least ref). A set needs enough timelines and days,
+    its term at least `min_timelines` pieces of evidence and less than `most_common` of the profile's (three always pass). Equal sets count once, under the rarest, then least, term; a set inside
+    a given cluster is none: shared refs are counted by an inverted index and compared with the set's size. Seeds meet by a cell of the day, so the clock bounds a
+    term's pairs; a set holds one ref a timeline."""
+    cells = max(1, 1440 // minutes)
+    width = 1440 / cells
+    whole = evidence.groupBy("profile").agg(F.countDistinct("ref").alias("all"))
+    often = evidence.groupBy("profile", "term").agg(F.countDistinct("ref").alias("df")).join(whole, "profile")
+    anchors = often.where((F.col("df") >= min_timelines) & (F.col("df") < F.greatest(F.lit(3.0), F.col("all") * most_common))).select("profile", "term", "df")
+    kept = checkpointed(evidence.where(F.col("minute").isNotNull()).join(anchors, ["profile", "term"]).withColumn("cell", F.floor(F.col("minute") / width)))
+    around = sorted({d % cells for d in (-1, 0, 1)})
+    seeds = kept.select("profile", "term", F.col("ref").alias("seed"), F.col("minute").alias("m"), F.explode(F.array(*[F.pmod(F.col("cell") + d, F.lit(cells)) for d in around])).alias("cell"))
+    gap = c.minute_distance(F.col("m"), F.col("minute"))
+    near = seeds.join(kept, ["profile", "term", "cell"]).where(gap <= minutes)
+    nearest = near.groupBy("profile", "term", "df", "seed", "timeline").agg(F.min(F.struct(gap.alias("gap"), "ref", "at_s")).alias("x"))
+    sets = nearest.groupBy("profile", "term", "df", "seed").agg(F.array_sort(F.collect_list("x.ref")).alias("refs"), F.count("*").alias("n"), ((F.max("x.at_s") - F.min("x.at_s")) / 86400).alias("days"))
+    sets = sets.where((F.col("n") >= min_timelines) & (F.col("days") + 1e-9 >= min_days))
+    best = checkpointed(sets.groupBy("profile", "refs").agg(F.min(F.struct("df", "term")).alias("x"), F.first("n").alias("n"), F.first("days").alias("days")))
+    shared = best.select("profile", "refs", "n", F.explode("refs").alias("ref")).join(clusters.select("profile", "cluster", "ref").distinct(), ["profile", "ref"])
+    inside = shared.groupBy("profile", "refs", "n", "cluster").agg(F.count("*").alias("k")).where("k = n").select("profile", "refs").distinct()
+    order = Window.partitionBy("profile").orderBy(F.col("n").desc(), F.col("days").desc(), "x.df", "x.term", "refs")
+    return best.join(inside, ["profile", "refs"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("profile", F.col("x.term").alias("term"), "refs", "n", "days", "rank")
+
+
 def expand_clusters(clusters: DataFrame, evidence: DataFrame, room: int = 24) -> DataFrame:
     """clusters: cluster, profile, term (its anchors), timeline. Adds evidence of the profile that shares an anchor, from timelines that the
     cluster did not cover, up to `room` a cluster."""

@@ -343,7 +343,8 @@ def distinct_names(spark, sf_dir):
     return tables.distinct_by_canonical(p).select("id", F.array_join("items", "|").alias("items"))
 
 
-@query()
+@query("""with d as (select doc_id, trim(case when doc_id % 9 <> 0 then text end) as t, (doc_id % 12)::double as s from documents)
+select doc_id::varchar as original_id, case when coalesce(t, '') <> '' or doc_id % 18 = 0 then least(1, case when s > 1 and s <= 10 then s / 10 else s end) end as importance, case when coalesce(t, '') = '' and doc_id % 18 <> 0 then 'neither text nor two messages' end as error from d""")
 def transfer_import(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     raw = d.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("content"), F.col("source").alias("session"), (F.col("doc_id") % 12).cast("string").alias("score"), F.when(F.col("doc_id") % 18 == 0, '[{"role":"ai","content":"a"},{"role":"me","content":"b"}]').alias("history"))

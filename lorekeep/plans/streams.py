@@ -43,20 +43,31 @@ def stream_dedup(spark, sf_dir):
     return _run(streams.deduplicated(twice, "400 days")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
 
 
-@query()
+#: Append mode gives what ends before the last watermark, an hour before the newest event, in milliseconds.
+_MARK = "(select floor(epoch_us(max(ts)) / 1000) * 1000 - 3600000000 from events)"
+#: Stretches of activity of a user that end with six hours of rest, in microseconds.
+_STRETCHES = """with e as (select user_id, event_type, epoch_us(ts) as t from events), o as (select *, case when t - lag(t) over w <= 21600000000 then 0 else 1 end as opens from e window w as (partition by user_id order by t)),
+g as (select *, sum(opens) over (partition by user_id order by t rows unbounded preceding) as g from o), st as (select user_id, g, min(t) as a, max(t) + 21600000000 as b, count(*) as n, count(*) filter (event_type = 'view') as rounds from g group by all)"""
+
+
+def _seconds(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({x: F.unix_micros(x) / 1e6 for x in names})
+
+
+@query(_STRETCHES + f" select 's' || user_id as session_id, a / 1e6 as started, b / 1e6 as ended, rounds, n from st where rounds >= 1 and b <= {_MARK}")
 def stream_idle_sessions(spark, sf_dir):
-    return _run(streams.idle_sessions(_messages(spark, sf_dir), "6 hours", 1, "1 hour"))
+    return _seconds(_run(streams.idle_sessions(_messages(spark, sf_dir), "6 hours", 1, "1 hour")), "started", "ended")
 
 
-@query()
+@query(f"with w as (select 's' || user_id as session_id, epoch_us(ts) // 21600000000 * 21600000000 as a, count(*) as n from events group by all) select a / 1e6 as started, session_id, n from w where a + 21600000000 <= {_MARK}")
 def stream_activity(spark, sf_dir):
-    return _run(streams.activity(_messages(spark, sf_dir), "6 hours", None, "1 hour"))
+    return _seconds(_run(streams.activity(_messages(spark, sf_dir), "6 hours", None, "1 hour")), "started")
 
 
-@query()
+@query(_STRETCHES + f" select user_id as memory_space_id, a / 1e6 as started, n from st where b <= {_MARK}")
 def stream_time_clusters(spark, sf_dir):
     e = _source(spark, sf_dir, "events").select(F.col("user_id").alias("memory_space_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return _run(streams.time_clusters(e))
+    return _seconds(_run(streams.time_clusters(e)), "started")
 
 
 @query("""with c as (select event_id as sequence, user_id as scope, event_type as timeline_uid, case event_type when 'error' then 'delete' else 'upsert' end as operation, value from events)

@@ -48,11 +48,14 @@ def fact_states(spark, sf_dir):
     return lifecycle.atom_states(a, NOW).select("doc_id", "status")
 
 
-@query()
+@query(ATOMS + f""", h as (select doc_id, count(*) * case when doc_id % 3 = 0 then 2 else 1 end as k from labels group by 1), r as (select doc_id, kind, importance, access_count + k as n, k, importance * 0.5 + 0.4 as c from a join h using (doc_id)),
+x as (select *, greatest(1.0, (case kind when 'episodic' then 7 when 'planned' then 2 when 'factual' then 180 when 'relational' then 90 when 'preference' then 60 else 30 end) * (0.5 + importance) * (1 + least(0.5, n * 0.1))) as ttl from r)
+select doc_id as atom_id, kind, importance, round(0.9 + (c - 0.9) * pow(0.7, k), 6) as confidence, n as reinforcement_count, round(ttl, 6) as ttl_days, round({NOW} + ttl * 86400, 3) as expires_s from x""")
 def fact_reinforcement(spark, sf_dir):
     a = _atoms(spark, sf_dir).select(F.col("doc_id").alias("atom_id"), "kind", "importance", (F.col("importance") * 0.5 + 0.4).alias("confidence"), F.col("access_count").alias("reinforcement_count"))
     hits = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("atom_id"), (F.col("doc_id") * 10).alias("new_id"), F.lit(0.9).alias("confidence"))
-    return lifecycle.reinforce(a, hits.unionByName(hits.withColumn("new_id", F.col("new_id") + 1).where("atom_id % 3 = 0")), NOW)
+    out = lifecycle.reinforce(a, hits.unionByName(hits.withColumn("new_id", F.col("new_id") + 1).where("atom_id % 3 = 0")), NOW)
+    return out.withColumns({"confidence": F.round("confidence", 6), "ttl_days": F.round("ttl_days", 6), "expires_s": F.round("expires_s", 3)})
 
 
 FACTS = "with f as (select l_orderkey as fragment_id, l_orderkey % 500 as topic_id, l_suppkey as source, l_discount::double * 10 as importance, l_tax::double * 10 as confidence, l_linenumber from lineitem)"

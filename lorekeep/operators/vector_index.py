@@ -7,7 +7,7 @@ rows of the scope; with exact=True it then reads every other list that the bound
 full scan. Rows of zero vectors are a list of their own that is always read.
 
 Sizes: centroids (lists x dimensions) go to all executors; queries x lists rows rank the lists; rows meet only the queries that probe their
-list, by an equi-join on it, which Spark splits where a list is hot.
+list, in blocks of bounded size (vector_blocks.met), whatever the list.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as c
 from .retrieval import in_scope, top_k
 from .tables import checkpointed
+from .vector_blocks import met
 
 #: Rows from which centroids are fitted: those of least hash, so reruns agree.
 SAMPLE_ROWS = 20_000
@@ -87,10 +88,9 @@ def _bound(angle: str, radius: str):
     return F.cos(F.greatest(F.lit(0.0), F.col(angle) - F.col(radius) - 1e-7)) + 1e-9
 
 
-def _probed(index: VectorIndex, probes: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of all rows in scope of the lists that queries probe. probes: query_id, __q, __q_ scope columns, __list."""
-    met = index.rows.join(probes, "__list").where(in_scope(index.scope))
-    return met.select("query_id", "doc_id", F.round(c.dot(F.col("__v"), F.col("__q")), 9).alias("score"))
+def _probed(index: VectorIndex, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of the k best rows in scope, of every block, of the lists that queries probe. probes: query_id, __q, __q_ scope columns, __list."""
+    return met(index.rows.select("__list", "doc_id", *index.scope, "__v"), probes, ("__list",), index.scope, k=k).select("query_id", "doc_id", "score")
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, enough: int = 4, exact: bool = False) -> DataFrame:
@@ -105,13 +105,13 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, enou
     order = Window.partitionBy("query_id").orderBy("__angle", "__list")
     before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = checkpointed(held.withColumn("__first", (F.row_number().over(order) <= probes) | (before < enough * k) | (F.col("__list") == _ZERO)))
-    best = top_k(_probed(index, ranked.where("__first").drop("__n", "__radius", "__angle", "__first")), k)
+    best = top_k(_probed(index, ranked.where("__first").drop("__n", "__radius", "__angle", "__first"), k), k)
     if not exact:
         return best
     best = checkpointed(best)
     worst = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("__worst"))
     rest = ranked.where("not __first").join(worst, "query_id", "left").where(_bound("__angle", "__radius") >= F.coalesce("__worst", F.lit(-2.0)))
-    more = top_k(_probed(index, rest.select(*[x for x in ranked.columns if x not in ("__n", "__radius", "__angle", "__first")])), k)
+    more = top_k(_probed(index, rest.select(*[x for x in ranked.columns if x not in ("__n", "__radius", "__angle", "__first")]), k), k)
     return top_k(best.drop("rank").unionByName(more.drop("rank")), k)
 
 
@@ -129,6 +129,6 @@ def pairs_at(items: DataFrame, floor: float, n_lists: int, by: str = "space") ->
     units = index.rows.select(F.col("doc_id").alias("query_id"), F.col(by).alias("__q_" + by), "__v")
     near = _list_angles(units, index.centroids, ["query_id", "__q_" + by, "__v"], nearest=False).withColumnRenamed("__v", "__q")
     held = near.join(F.broadcast(index.lists.withColumnRenamed(by, "__q_" + by)), ["__list", "__q_" + by]).where(_bound("__angle", "__radius") >= floor)
-    met = index.rows.join(held.select("query_id", F.col("__q_" + by).alias(by), "__q", "__list"), ["__list", by]).where(F.col("query_id") < F.col("doc_id"))
-    out = met.select(by, F.col("query_id").alias("a"), F.col("doc_id").alias("b"), F.round(c.dot(F.col("__q"), F.col("__v")), 9).alias("cosine"))
-    return out.where(F.col("cosine") >= floor)
+    own = index.rows.where(F.col(by).isNotNull()).select("__list", by, "doc_id", "__v")
+    out = met(own, held.select("__list", F.col("__q_" + by).alias(by), "query_id", "__q"), ("__list", by), floor=floor)
+    return out.select(by, F.col("query_id").alias("a"), F.col("doc_id").alias("b"), F.col("score").alias("cosine"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lorekeep.operators import topics
+from lorekeep.operators import retrieval, topics, vector_blocks
 
 
 def _items(spark):
@@ -36,3 +36,21 @@ def test_neighbours_leave_their_blocks_already_cut(spark):
     for k in (1, 4, 100):
         want = topics.neighbour_rankings(topics.vector_pairs(items, 0.1), k).select(*key).collect()
         assert sorted(map(tuple, topics.vector_neighbours(items, 0.1, k, block_rows=7).select(*key).collect())) == sorted(map(tuple, want))
+
+
+def test_top_k_by_slices_and_by_blocks(spark, monkeypatch):
+    rows, items = _items(spark)
+    items = items.where("size(embedding) = 5").selectExpr("uid as doc_id", "space as scope", "embedding")
+    queries = items.selectExpr("doc_id as query_id", "embedding", "case when doc_id % 2 = 0 then scope end as scope").where("embedding is not null")
+    plain = sorted(map(tuple, retrieval.vector_top_k(items, queries, 4, scope=("scope",)).collect()))
+    unit = {r[0]: np.array(r[2]) / (np.linalg.norm(r[2]) or 1.0) for r in rows if r[2] and len(r[2]) == 5}
+    space = {r[0]: r[1] for r in rows}
+    for q in (0, 1, 70, 71):
+        near = sorted(((-round(float(unit[q] @ v), 9), d) for d, v in unit.items() if q % 2 or space[d] == space[q] or space[q] is None))[:4]
+        assert [x[1] for x in plain if x[0] == q] == sorted(d for _, d in near)
+    wide = queries.selectExpr("query_id", "scope as __q_scope", "embedding as __q")
+    for k, size in ((4, 3), (1, 1000)):
+        met = vector_blocks.met(items.withColumnRenamed("embedding", "__v"), wide, scope=("scope",), k=k, size=size)
+        assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+    got = retrieval.vector_top_k(items, queries, 4, scope=("scope",), sent_numbers=0)
+    assert sorted(map(tuple, got.collect())) == plain

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from .retrieval import vector_top_k
 from .tables import checkpointed
+from .vector_blocks import met
 
 #: Default bounds of the decision.
 THRESHOLD, MARGIN, REVIEW, ANCHOR_MARGIN, ANCHORS, BONUS, BAND = 0.55, 0.04, 0.72, 0.03, 2, 0.10, 0.10
@@ -32,9 +33,11 @@ def candidate_topics(components: DataFrame, topics: DataFrame, k: int = 8) -> Da
 def representative_support(candidates: DataFrame, own: DataFrame, formal: DataFrame) -> DataFrame:
     """(uid, topic_uid, representative): 0.7 of the mean and 0.3 of the least of the best cosines of a component's fragments with a topic's; no row
     where either has none. own: uid, fragment_id, embedding; formal: topic_uid, embedding."""
-    mine = own.select("uid", "fragment_id", c.unit(F.col("embedding")).alias("__m"))
-    theirs = formal.select("topic_uid", c.unit(F.col("embedding")).alias("__t"))
-    each = candidates.select("uid", "topic_uid").join(mine, "uid").join(theirs, "topic_uid").groupBy("uid", "topic_uid", "fragment_id").agg(F.max(F.round(c.dot(F.col("__m"), F.col("__t")), 9)).alias("best"))
+    pairs = checkpointed(candidates.select("uid", "topic_uid"))
+    mine = own.select("uid", F.col("fragment_id").alias("query_id"), c.unit(F.col("embedding")).alias("__q"))
+    theirs = formal.select("topic_uid", F.lit(0).alias("doc_id"), c.unit(F.col("embedding")).alias("__v"))
+    near = met(pairs.join(theirs, "topic_uid"), pairs.join(mine, "uid"), ("uid", "topic_uid"), k=1)
+    each = near.groupBy("uid", "topic_uid", "query_id").agg(F.max("score").alias("best"))
     return each.groupBy("uid", "topic_uid").agg(c.clamp(0.70 * F.avg("best") + 0.30 * F.min("best")).alias("representative"))
 
 

@@ -27,6 +27,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     base = topics.centroid(f, ["space", "formal", "owner"]).withColumnRenamed("centroid", "embedding").join(f.groupBy("formal", "owner").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")), ["formal", "owner"])
     for rows, x, name in ((words, "term", "terms"), (lines, "actor", "actors"), (lines, "fact", "facts"), (lines, "source", "sources")):
         base = base.join(gather(rows, x, name), ["formal", "owner"], "left").withColumn(name, F.coalesce(name, F.array()))
+    base = matching.checkpointed(base)
     new, old = base.where("formal = 0").drop("formal").withColumnRenamed("owner", "uid"), base.where("formal = 1").drop("formal").withColumnRenamed("owner", "topic_uid")
     own, formal = f.where("formal = 0").select(F.col("owner").alias("uid"), "fragment_id", "embedding"), f.where("formal = 1").select(F.col("owner").alias("topic_uid"), "embedding")
     events = f.where("formal = 0").select(F.col("owner").alias("uid"), F.concat("space", F.lit("-"), F.floor(F.col("fragment_id") / 6).cast("long") % 9).alias("event")).distinct()

@@ -16,23 +16,27 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def containing(facts: DataFrame, queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+def containing(facts: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), newest: int | None = None) -> DataFrame:
     """(query_id, doc_id): facts whose content holds a part of a query, in any case. facts: doc_id, content, scope columns; queries: query_id, parts (array), scope
-    columns, null for no restriction.
+    columns, null for no restriction. With `newest`, at least the facts of highest id are there, that many of each query.
 
-    Each part is looked up by its rarest substring of three characters (of all of it where it is shorter): only facts that have that one are compared."""
+    Each part is looked up once, by its rarest substring of three characters (of all of it where it is shorter): only facts that have that one are compared.
+    Facts are read twice, to count substrings and to compare; neither their substrings nor their contents are shuffled."""
     parts = queries.select("query_id", *[F.col(x).alias("__q_" + x) for x in scope], F.explode("parts").alias("part")).withColumn("part", F.lower("part")).where(F.length("part") > 0)
     parts = checkpointed(parts.withColumn("n", F.least(F.lit(GRAM), F.length("part"))))
     needed = parts.select("part", "n", F.explode(F.coalesce(*[F.when(F.col("n") == n, _grams(F.col("part"), n)) for n in range(1, GRAM + 1)])).alias("gram")).distinct()
-    wanted = checkpointed(needed.select("gram").distinct())
-    send = F.broadcast if wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS else (lambda x: x)
+    needed = checkpointed(needed)
+    wanted = needed.select("gram").distinct()
+    sent = lambda df: F.broadcast(df) if df.limit(SENT_TERMS + 1).count() <= SENT_TERMS else df
     low = facts.select("doc_id", *scope, F.lower(F.coalesce("content", F.lit(""))).alias("content"))
-    own = low.select("doc_id", F.explode(F.concat(*[_grams(F.col("content"), n) for n in range(1, GRAM + 1)])).alias("gram")).join(send(wanted), "gram", "left_semi")
-    own = checkpointed(own)
-    held = needed.join(own.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
-    rarest = held.groupBy("part").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least")).where("least.df > 0").select("part", F.col("least.gram").alias("gram"))
-    met = parts.join(rarest, "part").join(own, "gram").join(low, "doc_id").where(in_scope(scope) & F.contains(F.col("content"), F.col("part")))
-    return met.select("query_id", "doc_id").distinct()
+    own = low.select("doc_id", *scope, "content", F.explode(F.concat(*[_grams(F.col("content"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    held = own.select("gram").join(sent(wanted), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = needed.join(held, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least")).where("least.df > 0").select("part", F.col("least.gram").alias("gram"))
+    rarest = checkpointed(rarest)
+    hits = own.join(sent(rarest), "gram").where(F.contains(F.col("content"), F.col("part"))).select("part", *scope, "doc_id")
+    if newest:
+        hits = top_k(hits, newest, by=["part", *scope], score="doc_id", ids=(), rank="__n").drop("__n")
+    return parts.join(hits, "part").where(in_scope(scope)).select("query_id", "doc_id").distinct()
 
 
 def fact_search(facts: DataFrame, queries: DataFrame, k: int, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -43,7 +47,7 @@ def fact_search(facts: DataFrame, queries: DataFrame, k: int, scope: tuple[str,
     these count alike, so decay orders them."""
     keyed = checkpointed(bm25(facts, queries, 2 * k, scope=scope).select("query_id", "doc_id", F.col("score").alias("base"), F.lit("keywords").alias("found_by")))
     empty = queries.join(keyed.select("query_id").distinct(), "query_id", "left_anti")
-    found = containing(facts, empty, scope).withColumn("__new", F.col("doc_id"))
+    found = containing(facts, empty, scope, 2 * k).withColumn("__new", F.col("doc_id"))
     newest = top_k(found, 2 * k, score="__new").select("query_id", "doc_id", F.lit(1.0).alias("base"), F.lit("containment").alias("found_by"))
     both = keyed.unionByName(newest).join(facts.select("doc_id", "temporal"), "doc_id")
     return top_k(both.withColumn("score", F.round(F.col("base") * F.col("temporal"), 9)), k).select("query_id", "doc_id", "base", "score", "found_by", "rank")

@@ -132,3 +132,15 @@ def test_nothing_in_nothing_out(spark):
     assert relations.weighted_jaccard_join(terms, 0.6).count() == 0
     ranked = spark.createDataFrame([], "space string, uid long, other long, cosine double, rank int, margin double")
     assert relations.related_topics(ranked, terms.select("space", "uid"), terms, terms, spark.createDataFrame([], "space string, uid long, source long")).count() == 0
+
+
+def test_weighted_join_makes_no_row_of_a_shared_term(spark, monkeypatch):
+    """Items with a rare word in common and little else never become rows; blocks of any size give the same pairs."""
+    words = {u: {"shared", *(f"own{u}-{i}" for i in range(6))} for u in range(40)}
+    words[40] = (words[0] - {"own0-0"}) | {"other"}
+    terms = spark.createDataFrame([("x", u, t) for u, own in words.items() for t in own], "space string, uid long, term string")
+    tables = []
+    monkeypatch.setattr(relations, "checkpointed", lambda df, plain=relations.checkpointed: tables.append(plain(df)) or tables[-1])
+    got = [sorted(tuple(r) for r in relations.weighted_jaccard_join(terms, 0.5, block).collect()) for block in (3, 1000)]
+    assert got[0] == got[1] and [r[1:3] for r in got[0]] == [(0, 40)]
+    assert [df.count() for df in tables if df.columns == ["space", "a", "b"]] == [1, 1]

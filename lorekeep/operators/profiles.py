@@ -72,14 +72,21 @@ def behaviour_evidence(evidence: DataFrame, assigned: DataFrame, now: float, day
 
 def repeated_contexts(evidence: DataFrame, minutes: int = 120, min_timelines: int = 3, min_days: float = 2.0, most: int = 4) -> DataFrame:
     """evidence: profile, timeline, term, minute, at_s. For each term, the timelines whose time of day is within `minutes` of one piece of
-    evidence: enough of them over enough days make a candidate; the `most` best of a profile. Pairs meet by (profile, term) and a bucket
-    of the minute, so a common term does not meet itself all over."""
+    evidence: enough of them over enough days make a candidate; the `most` best of a profile. Evidence of one minute sees the same timelines, so
+    minutes meet, not pieces of evidence: timelines with one minute as counts of it, others one by one. The clock bounds what a minute meets."""
     width = minutes
     cells = 1440 // width
-    left = evidence.select("profile", "term", F.col("timeline").alias("seed"), F.col("minute").alias("m"), F.explode(F.array(*[F.pmod(F.floor(F.col("minute") / width) + d, F.lit(cells)) for d in (-1, 0, 1)])).alias("cell"))
-    right = evidence.select("profile", "term", "timeline", "minute", "at_s", F.pmod(F.floor(F.col("minute") / width), F.lit(cells)).alias("cell"))
-    near = left.join(right, ["profile", "term", "cell"]).where(c.minute_distance(F.col("m"), F.col("minute")) <= minutes)
-    g = near.groupBy("profile", "term", "seed", "m").agg(F.countDistinct("timeline").alias("n"), ((F.max("at_s") - F.min("at_s")) / 86400).alias("days")).where((F.col("n") >= min_timelines) & (F.col("days") >= min_days))
+    cell = F.floor(F.col("minute") / width)
+    points = checkpointed(evidence.where(F.col("minute").isNotNull()).groupBy("profile", "term", "timeline", "minute").agg(F.min("at_s").alias("lo"), F.max("at_s").alias("hi")))
+    seeds = points.groupBy("profile", "term", "minute").agg(F.min(F.struct("timeline"))["timeline"].alias("seed"))
+    around = sorted({d % cells for d in (-1, 0, 1)})
+    seeds = seeds.select("profile", "term", "seed", F.col("minute").alias("m"), F.explode(F.array(*[F.pmod(cell + d, F.lit(cells)) for d in around])).alias("cell"))
+    marked = points.withColumn("alone", F.count("*").over(Window.partitionBy("profile", "term", "timeline")) == 1).withColumn("cell", F.pmod(cell, F.lit(cells)))
+    near = lambda rows: seeds.join(rows, ["profile", "term", "cell"]).where(c.minute_distance(F.col("m"), F.col("minute")) <= minutes).groupBy("profile", "term", "seed", "m")
+    alone = marked.where("alone").groupBy("profile", "term", "cell", "minute").agg(F.count("timeline").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    span = F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    both = near(alone).agg(F.sum("k").alias("k"), *span).unionByName(near(marked.where("not alone")).agg(F.countDistinct("timeline").alias("k"), *span))
+    g = both.groupBy("profile", "term", "seed", "m").agg(F.sum("k").alias("n"), ((F.max("hi") - F.min("lo")) / 86400).alias("days")).where((F.col("n") >= min_timelines) & (F.col("days") >= min_days))
     best = top_k(g.withColumn("score", F.col("n").cast("double")), 1, by=["profile", "term"], ids=("m", "seed"), rank="__r")
     return top_k(best.select("profile", "term", "seed", "m", "n", "days", "score"), most, by=["profile"], ids=("term",)).drop("score")
 

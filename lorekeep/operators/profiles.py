@@ -97,26 +97,42 @@ def context_candidates(evidence: DataFrame, clusters: DataFrame, minutes: int =
 
     Every piece of evidence with a known minute is a seed, with the nearest piece of each timeline within `minutes` (then the least ref). A set needs enough timelines and days,
     its term at least `min_timelines` pieces of evidence and less than `most_common` of the profile's (three always pass). Equal sets count once, under the rarest, then least, term; a set inside
-    a given cluster is none: shared refs are counted by an inverted index and compared with the set's size. Seeds meet by a cell of the day, so the clock bounds a
-    term's pairs; a set holds one ref a timeline."""
+    a given cluster is none: what clusters all its refs share is an intersection of the refs' own.
+
+    Seeds of one minute see the same set, so minutes are seeds. Timelines with one piece of evidence for a term meet them as sums by minute, others one by one. Equal sets have equal n and days,
+    so the best sets are among the first `most` values of these, and refs are gathered for those only. The clock bounds a term's seeds and their sums; a set holds one ref a timeline."""
     cells = max(1, 1440 // minutes)
     width = 1440 / cells
     whole = evidence.groupBy("profile").agg(F.countDistinct("ref").alias("all"))
     often = evidence.groupBy("profile", "term").agg(F.countDistinct("ref").alias("df")).join(whole, "profile")
     anchors = often.where((F.col("df") >= min_timelines) & (F.col("df") < F.greatest(F.lit(3.0), F.col("all") * most_common))).select("profile", "term", "df")
-    kept = checkpointed(evidence.where(F.col("minute").isNotNull()).join(anchors, ["profile", "term"]).withColumn("cell", F.floor(F.col("minute") / width)))
+    holders = clusters.groupBy("profile", "ref").agg(F.collect_set("cluster").alias("held"))
+    kept = evidence.where(F.col("minute").isNotNull()).join(anchors, ["profile", "term"]).join(holders, ["profile", "ref"], "left").withColumn("held", F.coalesce("held", F.array().cast(holders.schema["held"].dataType)))
+    kept = checkpointed(kept.withColumn("cell", F.floor(F.col("minute") / width).cast("int")).withColumn("alone", F.count("*").over(Window.partitionBy("profile", "term", "timeline")) == 1))
     around = sorted({d % cells for d in (-1, 0, 1)})
-    seeds = kept.select("profile", "term", F.col("ref").alias("seed"), F.col("minute").alias("m"), F.explode(F.array(*[F.pmod(F.col("cell") + d, F.lit(cells)) for d in around])).alias("cell"))
+    seen = F.explode(F.array(*[F.pmod(F.col("cell") + d, F.lit(cells)) for d in around]))
     gap = c.minute_distance(F.col("m"), F.col("minute"))
-    near = seeds.join(kept, ["profile", "term", "cell"]).where(gap <= minutes)
-    nearest = near.groupBy("profile", "term", "df", "seed", "timeline").agg(F.min(F.struct(gap.alias("gap"), "ref", "at_s")).alias("x"))
-    sets = nearest.groupBy("profile", "term", "df", "seed").agg(F.array_sort(F.collect_list("x.ref")).alias("refs"), F.count("*").alias("n"), ((F.max("x.at_s") - F.min("x.at_s")) / 86400).alias("days"))
-    sets = sets.where((F.col("n") >= min_timelines) & (F.col("days") + 1e-9 >= min_days))
-    best = checkpointed(sets.groupBy("profile", "refs").agg(F.min(F.struct("df", "term")).alias("x"), F.first("n").alias("n"), F.first("days").alias("days")))
-    shared = best.select("profile", "refs", "n", F.explode("refs").alias("ref")).join(clusters.select("profile", "cluster", "ref").distinct(), ["profile", "ref"])
-    inside = shared.groupBy("profile", "refs", "n", "cluster").agg(F.count("*").alias("k")).where("k = n").select("profile", "refs").distinct()
+    lists = F.collect_list("held")
+    common = F.aggregate(lists, F.element_at(lists, 1), lambda x, y: F.array_intersect(x, y)).alias("held")
+
+    def sets(seeds: DataFrame, refs: bool) -> DataFrame:
+        """(profile, term, df, m, n, lo, hi, held, and refs if asked for) of the set of each seed (profile, term, df, m, cell)."""
+        more = lambda x: [x.alias("refs")] if refs else []
+        near = lambda rows: seeds.join(rows.withColumn("cell", seen), ["profile", "term", "cell"]).where(gap <= minutes)
+        sums = kept.where("alone").groupBy("profile", "term", "cell", "minute").agg(F.count("*").alias("n"), F.min("at_s").alias("lo"), F.max("at_s").alias("hi"), common, *more(F.collect_list("ref")))
+        single = near(sums).select("profile", "term", "df", "m", "n", "lo", "hi", "held", *(["refs"] if refs else []))
+        rows = near(kept.where("not alone").select("profile", "term", "cell", "minute", "timeline", "ref", "at_s", "held"))
+        nearest = rows.groupBy("profile", "term", "df", "m", "timeline").agg(F.min(F.struct(gap.alias("gap"), "ref", "at_s", "held")).alias("x"))
+        each = nearest.select("profile", "term", "df", "m", F.lit(1).cast("long").alias("n"), F.col("x.at_s").alias("lo"), F.col("x.at_s").alias("hi"), "x.held", *more(F.array("x.ref")))
+        return single.unionByName(each).groupBy("profile", "term", "df", "m").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), common, *more(F.array_sort(F.flatten(F.collect_list("refs")))))
+
+    days = (F.col("hi") - F.col("lo")) / 86400
+    fair = sets(kept.select("profile", "term", "df", F.col("minute").alias("m"), "cell").distinct(), False).where((F.col("n") >= min_timelines) & (days + 1e-9 >= min_days) & (F.size("held") == 0))
+    value = Window.partitionBy("profile").orderBy(F.col("n").desc(), days.desc())
+    first = checkpointed(fair.withColumn("r", F.dense_rank().over(value)).where(F.col("r") <= most).select("profile", "term", "df", "m", F.floor(F.col("m") / width).cast("int").alias("cell")))
+    best = sets(first, True).groupBy("profile", "refs").agg(F.min(F.struct("df", "term")).alias("x"), F.first("n").alias("n"), F.first(days).alias("days"))
     order = Window.partitionBy("profile").orderBy(F.col("n").desc(), F.col("days").desc(), "x.df", "x.term", "refs")
-    return best.join(inside, ["profile", "refs"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("profile", F.col("x.term").alias("term"), "refs", "n", "days", "rank")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("profile", F.col("x.term").alias("term"), "refs", "n", "days", "rank")
 
 
 def expand_clusters(clusters: DataFrame, evidence: DataFrame, room: int = 24) -> DataFrame:

@@ -60,3 +60,12 @@ def test_formulas(spark):
     texts = {"=1": "'=1", "+1": "'+1", "-1": "'-1", "@a": "'@a", "\tx": "'\tx", "\rx": "'\rx", " =1": " =1", "a=1": "a=1", "": ""}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", c.csv_safe(F.col("t")).alias("s")).collect()
     assert {x.t: x.s for x in got} == texts
+
+
+def test_context_candidates_of_one_minute(spark):
+    """20,000 timelines in one minute are 400 million pairs of evidence and as many refs, but one set."""
+    evidence = spark.range(20000).selectExpr("'p' as profile", "id as ref", "id as timeline", "'x' as term", "600 as minute", "id * 100.0D as at_s").unionByName(spark.range(20000, 40000).selectExpr("'p' as profile", "id as ref", "id as timeline", "'y' as term", "cast(null as int) as minute", "0.0D as at_s"))
+    held = spark.createDataFrame([("p", "c", 1)], "profile string, cluster string, ref long")
+    df = profiles.context_candidates(evidence, held)
+    got = df.collect()
+    assert [(r["term"], len(r["refs"]), r["refs"][:3], r["n"], r["rank"]) for r in got] == [("x", 20000, [0, 1, 2], 20000, 1)]

@@ -199,3 +199,10 @@ def test_clusters_hold_every_node(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(9), 20, 21, 30]], "uid long")
     got = {r["uid"]: (r["cluster"], r["unmerged"]) for r in topics.clusters_of_all(scores, scores, nodes, most=5).collect()}
     assert got == {**{i: (i, True) for i in range(9)}, 20: (20, False), 21: (20, False), 30: (30, False)}
+
+
+def test_range_join_of_one_day(spark):
+    """200,000 short spans of one day on each side: 40,000,000,000 pairs in its one bucket, of which two or three a span meet."""
+    times = spark.range(200_000).selectExpr("id", "id * 0.4D as s", "id * 0.4D + 0.5D as e")
+    out = sessions.range_overlap_join(times.withColumnRenamed("id", "item_id"), times.selectExpr("id as range_id", "s as lo", "e as hi"))
+    assert out.selectExpr("count(*) as n", "min(range_id - item_id) as a", "max(range_id - item_id) as b").first() == (599_998, -1, 1)

@@ -91,14 +91,40 @@ def health(issues: DataFrame) -> DataFrame:
     return issues.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+#: Edits up to which fields meet by what is left when characters are deleted; pairs of more edits meet by bigrams.
+DELETED = 2
+
+
+def _deletions(x: str, edits: Column) -> Column:
+    """The text and all that is left of it when up to `edits` (DELETED at most) characters are deleted."""
+    less = lambda y: F.transform(F.sequence(F.lit(1), F.length(y)), lambda i: F.concat(F.substr(y, F.lit(1), i - 1), F.substr(y, i + 1)))
+    none = F.array().cast("array<string>")
+    level, levels = F.array(F.col(x)), [F.array(F.col(x))]
+    for k in range(1, DELETED + 1):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda y: F.when(F.length(y) > 0, less(y)).otherwise(none))))
+        levels.append(F.when(edits >= k, level).otherwise(none))
+    return F.concat(*levels)
+
+
 def near_fields(left: DataFrame, right: DataFrame, ratio: float = 0.86) -> DataFrame:
-    """Pairs (a, b) of one scope whose field is equal, canonically equal, or near by 1 - levenshtein / longest. Candidates for the near tier
-    share a bigram, whichever, and differ little in length. left, right: scope, id, field."""
+    """Pairs (a, b) of one scope whose field is equal, canonically equal, or near by 1 - levenshtein / longest. left, right: scope, id, field.
+
+    Two fields of d edits have an equal rest when each loses up to d characters, so fields whose partners are at most DELETED edits away meet by such rests, which hardly
+    any others share. Pairs of fields so long that more edits are near share a bigram, whichever, and differ little in length."""
     grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: x.substr(i, F.lit(2))))
+    # the most edits that a partner of the field, no longer than length / ratio and than any field, may be away
     key = lambda df, n: df.select("scope", F.col("id").alias(n), F.col("field").alias(f"f{n}"), c.canonical_text(F.col("field")).alias(f"c{n}"))
     a, b = key(left, "a"), key(right, "b")
+    longest = max(df.agg(F.max(F.length(x))).first()[0] or 0 for df, x in ((a, "ca"), (b, "cb")))
+    edits = lambda x: F.floor((1 - ratio) * F.least(F.lit(longest), F.floor(F.length(x) / ratio + 1e-9)) + 1e-9)
     exact = a.join(b, (a["scope"] == b["scope"]) & (a["ca"] == b["cb"])).select(a["scope"], "a", "b", F.when(F.col("fa") == F.col("fb"), "equal").otherwise("canonical").alias("tier"))
-    ga, gb = a.withColumn("g", F.explode(grams(F.col("ca")))), b.withColumn("g", F.explode(grams(F.col("cb"))))
-    met = ga.join(gb, ["scope", "g"]).where((F.col("ca") != F.col("cb")) & (F.least(F.length("ca"), F.length("cb")) >= ratio * F.greatest(F.length("ca"), F.length("cb"))))
+    rests = lambda df, x: df.where(edits(x) > 0).select("*", F.explode(F.array_distinct(F.transform(_deletions(x, edits(x)), lambda y: F.xxhash64(y)))).alias("g"))
+    bigrams = lambda df, x: df.where(edits(x) > DELETED).withColumn("g", F.explode(grams(F.col(x))))
     close: Column = 1 - F.levenshtein("ca", "cb") / F.greatest(F.length("ca"), F.length("cb"))
-    return exact.unionByName(met.where(close >= ratio).select("scope", "a", "b", F.lit("near").alias("tier")).distinct())
+    out = exact
+    for side in [rests, bigrams] if (1 - ratio) * longest + 1e-9 >= DELETED + 1 else [rests]:
+        # merge: a table's estimate knows nothing of its rests, and a broadcast would take them all through the driver
+        met = side(a, "ca").drop("fa").hint("merge").join(side(b, "cb").drop("fb"), ["scope", "g"]).where((F.col("ca") != F.col("cb")) & (F.least(F.length("ca"), F.length("cb")) >= ratio * F.greatest(F.length("ca"), F.length("cb"))))
+        near = met.where(close >= ratio).select("scope", "a", "b", F.lit("near").alias("tier"))
+        out = out.unionByName(near.distinct() if side is rests else near.distinct().join(out.where("tier = 'near'"), ["scope", "a", "b"], "left_anti"))
+    return out

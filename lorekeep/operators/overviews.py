@@ -58,8 +58,13 @@ def session_impact(timelines: DataFrame, links: DataFrame) -> DataFrame:
 
 def topics_with(actors: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: request_id, actor_ids (a JSON list). The (request_id, topic_id) of topics that name one of them."""
-    asked = wanted.select("request_id", F.explode(F.array_distinct(F.from_json("actor_ids", "array<string>"))).alias("actor_id"))
-    return actors.select("topic_id", "actor_id").distinct().join(asked, "actor_id").select("request_id", "topic_id").distinct()
+    asked = wanted.select("request_id", F.explode(F.from_json("actor_ids", "array<string>")).alias("actor_id")).groupBy("request_id").agg(F.array_sort(F.collect_set("actor_id")).alias("actor_ids"))
+    # requests for the same actors share one list of topics, so what is found for a request is distinct already
+    each = asked.select("actor_ids").distinct().select("actor_ids", F.explode("actor_ids").alias("actor_id"))
+    found = actors.select("topic_id", "actor_id").distinct().join(each, "actor_id").select("actor_ids", "topic_id").distinct()
+    # few bytes of requests make many rows, so they are dealt to all tasks
+    dealt = asked.repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id")
+    return dealt.join(found, "actor_ids").select("request_id", "topic_id")
 
 
 def current_links(links: DataFrame, topics: DataFrame) -> DataFrame:

@@ -153,6 +153,26 @@ def test_repair_shortens_and_refuses_cut_blocks():
         token_files.Block(data[:-1])
 
 
+def repeated_pairs(symbols):
+    """Pairs of neighbours that occur twice without overlap."""
+    times, last = {}, {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if last.get(pair) != i - 1:
+            times[pair], last[pair] = times.get(pair, 0) + 1, i
+    return [p for p, n in times.items() if n > 1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repair_goes_on_until_no_pair_occurs_twice(seed):
+    rng = np.random.default_rng(seed)
+    for n in (0, 1, 2, 50, 400, 5000):
+        ids = rng.integers(0, int(rng.integers(1, 60)), n).astype(np.uint32)
+        rules, symbols = token_files.repair(ids, 60)
+        assert np.array_equal(token_files.Grammar(rules, 60).expand(symbols), ids)
+        assert not repeated_pairs(symbols.tolist())
+        assert np.array_equal(token_files.expansion_lengths(rules, 60), token_files.Grammar(rules, 60).sizes)
+
+
 def ends(ids, tokenizer):
     return np.cumsum([len(tokenizer.bytes_of[i]) for i in ids])
 
